@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_00
         at, n = 0, batch.num_rows
         ends = None
         if text is not None and n:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
         while at < n:
             stop = min(n, at + rows)
@@ -90,3 +91,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         found = found.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     least = found.groupBy("to").agg(F.min("node").alias("component"))
     return cut(found.join(least, "to").select("node", "component"))
+
+
+#: So many ids (16 MB as a hash table) may be broadcast; beyond, the join shuffles.
+BROADCAST_IDS = 200_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``gone`` (one long column); rows of null id stay."""
+    gone = cut(gone.toDF("__gone").distinct())
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

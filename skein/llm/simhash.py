@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import connected_components, cut, slices, spanning_links
+from skein.llm.common import connected_components, cut, slices, spanning_links, without_ids
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -139,8 +139,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     groups = simhash_groups(docs, **options)
     id_col = options.get("id_col", "doc_id")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    return without_ids(docs, gone, id_col)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
