@@ -6,6 +6,7 @@ from skein.llm.embed_dedup import op2_embedding_dedup
 from skein.llm.langid import op1_language_id
 from skein.llm.packing import op4_packing
 from skein.llm.simhash import op5_simhash
+from skein.llm.tokenbin import op3_token_order
 from skein.llm.topk import op8_exact_top_k
 from skein.llm.toxicity import op9_toxicity
 from skein.llm.url_filter import op10_url_filter
@@ -13,6 +14,7 @@ from skein.llm.url_filter import op10_url_filter
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_token_order": op3_token_order,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op8_exact_top_k": op8_exact_top_k,
