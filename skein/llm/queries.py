@@ -5,6 +5,7 @@ from __future__ import annotations
 from skein.llm.bpe import op7_byte_bpe
 from skein.llm.embed_dedup import op2_embedding_dedup
 from skein.llm.langid import op1_language_id
+from skein.llm.line_dedup import op6_line_dedup
 from skein.llm.packing import op4_packing
 from skein.llm.simhash import op5_simhash
 from skein.llm.tokenbin import op3_token_order
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_token_order": op3_token_order,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
