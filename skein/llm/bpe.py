@@ -5,8 +5,8 @@ carries the new words of a batch of documents, higher-order functions fold their
 the partition's rows in order, puts the ids back into the documents. Nothing is shuffled.
 
 A fold keeps the ids of a word and, for each neighbouring pair, the rank of what the pair would make; it merges the leftmost
-pair of the lowest rank until no pair makes a token. Ranks come from a literal hash table: a pair of ids has two possible
-places in it (cuckoo hashing), so a lookup is at most two reads.
+pair of the lowest rank until no pair makes a token. Ranks come from a literal map from pairs of ids, laid out as arrays so
+that a lookup is three reads.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from skein.llm.common import slices, table
 from skein.llm.tokens import SPLIT, default_path, read_file
 
 NONE = 2**31 - 1  # no merge
+PLACE = 20  # bits for a place in a word
 
 
 @functools.cache
@@ -42,84 +43,91 @@ def pieces_of(path: str) -> list[bytes]:
     return out
 
 
-def place(key, multiplier: int, shift: int, bits: int):
-    """The place of a pair of ids in a half of the table: middle bits of a product that stays below 2^62."""
-    return ((key * multiplier) >> (shift + 2)) & ((1 << bits) - 1)
-
-
 @functools.cache
-def pair_table(path: str) -> tuple[int, int, tuple[int, int], list[int], list[int]]:
-    """(shift, bits, multipliers, keys, ranks): every pair of tokens that makes a token, in two halves of 2^bits places.
+def pair_table(path: str) -> tuple[list[int], list[int], list[int]]:
+    """(offsets, lefts, ranks): every pair of tokens that makes a token, as a sparse matrix with its rows laid over each other.
 
-    The key of a pair is (left << shift) + right.
+    The rank of a pair stands at offsets[left] + right, if ``lefts`` has the left token there. Long rows go to the
+    first place where they fit, then short ones to the first place of a fixed random sequence.
     """
     ranks = ranks_of(path)
-    shift = max(8, max(ranks.values()).bit_length())
-    if shift > 20:
-        raise ValueError("more than 2^20 tokens")
-    pairs = {(ranks[t[:k]] << shift) + ranks[t[k:]]: rank for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-    bits = max(4, (len(pairs) - 1).bit_length())
-    for attempt in range(50):
-        multipliers = tuple(int.from_bytes(hashlib.sha256(f"{attempt}/{k}".encode()).digest()[:8], "little") % (1 << (62 - 2 * shift)) | 1 for k in range(2))
-        keys, held = [[-1] * (1 << bits), [-1] * (1 << bits)], True
-        for key in pairs:
-            side = 0
-            for _ in range(500):
-                at = place(key, multipliers[side], shift, bits)
-                key, keys[side][at] = keys[side][at], key
-                if key < 0:
-                    break
-                side = 1 - side
+    size = max(ranks.values()) + 1
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for t, rank in ranks.items():
+        for k in range(1, len(t)):
+            if t[:k] in ranks and t[k:] in ranks:
+                rows.setdefault(ranks[t[:k]], []).append((ranks[t[k:]], rank))
+    total = sum(map(len, rows.values()))
+    used = np.zeros(4 * (size + total), bool)
+    lefts, made, offsets = np.full(len(used), -1), np.full(len(used), NONE), np.full(size, -2 * len(used))
+    draw, end = np.random.default_rng(0), size + 2 * total
+    for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
+        rights, values = np.array(sorted(rows[left])).T
+        shape = rights - rights[0]
+        start, fits = 0, np.zeros(1, bool)
+        while not fits.any():
+            if len(rights) > 8:
+                spots, start = start + np.flatnonzero(~used[start : start + 512]), start + 512
             else:
-                held = False
-                break
-        if held:
-            flat = keys[0] + keys[1]
-            return shift, bits, multipliers, flat, [pairs.get(k, NONE) for k in flat]
-    raise ValueError("no table found")
+                spots = draw.integers(0, end - size, 64)
+            fits = ~used[spots[:, None] + shape].any(axis=1) if len(spots) else np.zeros(1, bool)
+        at = int(spots[np.argmax(fits)]) - rights[0]
+        offsets[left] = at
+        used[at + rights], lefts[at + rights], made[at + rights] = True, left, values
+    end = int(np.flatnonzero(used)[-1]) + 1 if total else 0
+    return offsets.tolist(), lefts[:end].tolist(), made[:end].tolist()
+
+
+def literal(numbers: list[int]) -> Column:
+    """A literal array of ints; the optimizer folds the text into one value."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
 
 
-def literal(numbers: list[int], kind: str = "bigint") -> Column:
-    """A literal array; the optimizer folds the text into one value."""
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fold_words(words: Column, path: str) -> Column:
-    """array<array<int>> of ids for an array of words, each an array of its bytes (0 to 255)."""
+    """array<array<int>> of ids for an array of words, each an array of its bytes (0 to 255).
+
+    The state of a fold is an array of longs: the rank of what a token makes with the next one, then its own id.
+    """
     ranks = ranks_of(path)
-    shift, bits, multipliers, keys, made = pair_table(path)
-    packed = literal([-1 if k < 0 else (k << 20) + r for k, r in zip(keys, made)])
-    single = literal([ranks[bytes([b])] for b in range(256)], "int")
-    none = F.lit(NONE)
+    offsets, lefts, made = pair_table(path)
+    width = max(8, max(ranks.values()).bit_length())
+    mask = (1 << width) - 1
+    single = literal([ranks[bytes([b])] for b in range(256)])
+
+    def with_table(table: Column) -> Column:
+        def entry(own: Column, after: Column) -> Column:
+            at = F.get(table["offsets"], own) + after
+            rank = F.when(F.get(table["lefts"], at) == own, F.get(table["ranks"], at)).otherwise(F.lit(NONE))
+            return F.shiftleft(rank.cast("bigint"), width).bitwiseOR(own)
 
-    def rank(left: Column, right: Column) -> Column:
-        key = F.shiftleft(left.cast("bigint"), shift) + right
-        entry = lambda side, k: F.get(packed, (F.shiftright(k * multipliers[side], shift + 2).bitwiseAND((1 << bits) - 1) + (side << bits)).cast("int"))
-        take = lambda k, first, second: F.when(F.shiftright(first, 20) == k, first.bitwiseAND((1 << 20) - 1)).when(F.shiftright(second, 20) == k, second.bitwiseAND((1 << 20) - 1)).otherwise(none).cast("int")
-        return bound(key, lambda k: take(k, entry(0, k), entry(1, k)))
+        def id_at(state: Column, at: Column) -> Column:
+            return F.get(state, at).bitwiseAND(mask).cast("int")
 
-    def bound(value: Column, use) -> Column:
-        return F.get(F.transform(F.array(value), use), F.lit(0))
+        def merge(state: Column, low: Column, at: Column) -> Column:
+            fewer = F.filter(state, lambda _, i: i != at + 1)
+            return F.transform(fewer, lambda x, i: F.when(i == at, entry(low, id_at(state, at + 2))).when(i == at - 1, entry(id_at(state, at - 1), low)).otherwise(x))
 
-    def merge(state: Column, low: Column, at: Column) -> Column:
-        ids, near = state["ids"], state["near"]
-        before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), low))).otherwise(F.array().cast("array<int>"))
-        after = F.when(at < F.size(near), F.array(rank(low, F.get(ids, at + 1)))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-            F.concat(F.slice(near, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(near, at + 2, F.size(near))).alias("near"),
-        )
+        def step(state: Column, _: Column) -> Column:
+            lowest = F.array_min(F.transform(state, lambda x, i: F.shiftleft(F.shiftright(x, width), PLACE).bitwiseOR(i)))  # of the lowest rank, the leftmost
+            merged = lambda low: bound(low.bitwiseAND((1 << PLACE) - 1).cast("int"), lambda at: merge(state, F.shiftright(low, PLACE).cast("int"), at))
+            return bound(lowest, lambda low: F.when(low >= NONE << PLACE, state).otherwise(merged(low)))
 
-    def step(state: Column, _: Column) -> Column:
-        found = lambda low: F.when(F.coalesce(low, none) == NONE, state).otherwise(bound(F.array_position(state["near"], low).cast("int"), lambda at: merge(state, low, at)))
-        return bound(F.array_min(state["near"]), found)
+        def fold(word: Column) -> Column:
+            ids = F.transform(word, lambda b: F.get(single, b.cast("int")))
+            start = bound(ids, lambda ids: F.transform(ids, lambda x, i: entry(x, F.get(ids, i + 1))))
+            rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
+            folded = F.when(F.size(word) < 2, start).otherwise(F.aggregate(rounds, start, step))
+            return F.transform(folded, lambda x: x.bitwiseAND(mask).cast("int"))
 
-    def fold(word: Column) -> Column:
-        start = bound(F.transform(word, lambda b: F.get(single, b.cast("int"))), lambda ids: F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), rank).alias("near")))
-        rounds = F.sequence(F.lit(1), F.size(word) - 1)
-        return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(single, b.cast("int")))).otherwise(F.aggregate(rounds, start, step, lambda s: s["ids"]))
+        return F.transform(words, fold)
 
-    return F.transform(words, fold)
+    named = {"offsets": offsets, "lefts": lefts, "ranks": made}
+    return bound(F.struct(*[literal(v).alias(k) for k, v in named.items()]), with_table)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -214,7 +222,7 @@ def digest(path: str):
     return run
 
 
-def encode_digest(docs: DataFrame, path: str | None = None, pattern: str = SPLIT, dictionary: int = 400_000, long_word: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digest(docs: DataFrame, path: str | None = None, pattern: str = SPLIT, dictionary: int = 600_000, long_word: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, over whole texts.
 
     Null and empty texts have no ids (the digests are of nothing). Words of more than ``long_word`` bytes are merged with
