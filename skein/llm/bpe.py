@@ -239,12 +239,14 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """(doc_id, ids array<int>) of short tables, wholly by higher-order functions: split, fold and join within a row."""
     path = path or default_path("byte_bpe_50k.tiktoken")
 
-    @F.pandas_udf("array<array<smallint>>")
-    def words(texts):
+    def words(frames):
         find = regex.compile(SPLIT).findall
-        return texts.map(lambda t: [list(w.encode()) for w in find(t or "")])
+        for frame in frames:
+            frame["words"] = [[list(w.encode()) for w in find(t or "")] for t in frame.pop("text")]
+            yield frame
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.flatten(fold_words(words(F.coalesce(F.col(text_col), F.lit(""))), path)).alias("ids"))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(words, "doc_id string, words array<array<smallint>>")
+    return rows.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), F.flatten(fold_words(F.col("words"), path)).alias("ids"))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
