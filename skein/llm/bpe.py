@@ -177,7 +177,7 @@ def fold_batch(words: list[bytes], single: np.ndarray, table: tuple[np.ndarray,
         wide = max(1, int(sizes[rows[-1]]))
         cells = np.arange(wide)
         inside = cells < sizes[rows, None]
-        ids = np.where(inside, flat[np.minimum(starts[rows, None] + cells, len(flat) - 1)], -1)
+        ids = np.where(inside, np.append(flat, single[:1])[np.minimum(starts[rows, None] + cells, len(flat))], -1)
         near = np.full(ids.shape, NONE, np.int32)
         near[:, :-1] = rank(ids[:, :-1], ids[:, 1:])
         near[ids < 0] = NONE
