@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_000_000, text: int | None = None) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 1_000_000, text: int | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice stay below ``chars`` bytes, however long single texts are."""
     for batch in batches:
         at, n = 0, batch.num_rows

@@ -83,7 +83,7 @@ def fit(rows: DataFrame, max_features: int = 2048, smoothing: float = 1.0, l2: f
     """A model of ``rows`` (text, label 0/1), which must be a bounded sample: about 100 n-gram places a row reach the driver."""
 
     def count(batches):
-        for batch in slices(batches, text=0):
+        for batch in slices(batches, chars=300_000, text=0):
             texts, label = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             r, c = _presence(texts, None)
             codes, place = np.unique(c, return_inverse=True)
@@ -109,7 +109,7 @@ def fit(rows: DataFrame, max_features: int = 2048, smoothing: float = 1.0, l2: f
 
     def places(batches):
         wanted = _lookup(codes)
-        for batch in slices(batches, text=0):
+        for batch in slices(batches, chars=300_000, text=0):
             r, c = _presence(batch.column(0).to_pylist(), wanted)
             ends = np.cumsum(np.bincount(r, minlength=batch.num_rows))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(c.astype(np.int32)))
@@ -148,7 +148,7 @@ def scorer(model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = [np.zeros(0)]
-            for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["t"])], text=0):
+            for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["t"])], chars=300_000, text=0):
                 out.append(scores(model, part.column(0).to_pylist()))
             yield pd.Series(np.concatenate(out))
 
