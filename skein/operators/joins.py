@@ -9,7 +9,7 @@ from skein.functions.text import normal_name
 from skein.operators.graph import first_of
 
 #: Endings that an import path may lack, in the order in which they are tried; fixed values.
-SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", "/index.ts", "/index.js", "/index.vue")
+SUFFIXES = ("", ".vue", ".ts", ".js", ".jsx", ".tsx", "/index.ts", "/index.js", "/index.vue")
 
 
 def classify_first(rows: DataFrame, text: Column, patterns: list[tuple[str, str]], name: str) -> DataFrame:
