@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import slices, table
+from skein.llm.common import released, slices, table
 from skein.llm.tokens import SPLIT, default_path, read_file
 
 NONE = 2**31 - 1  # no merge
@@ -259,7 +259,7 @@ def encode_digest(docs: DataFrame, path: str | None = None, pattern: str = SPLIT
     """
     path = path or default_path("byte_bpe_50k.tiktoken")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(digest(path, pattern, dictionary, long_word), DIGEST)
+    return source.mapInArrow(released(digest(path, pattern, dictionary, long_word)), DIGEST)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             frame["words"] = [[list(w.encode()) for w in find(t or "")] for t in frame.pop("text")]
             yield frame
 
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(words, "doc_id string, words array<array<smallint>>")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(released(words), "doc_id string, words array<array<smallint>>")
     return rows.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), F.flatten(fold_words(F.col("words"), path)).alias("ids"))
 
 

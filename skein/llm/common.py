@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,26 +12,42 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.plans.lineage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["connected_components", "cut", "released", "shared_dir", "slices", "spanning_links", "table", "without_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Python workers live on between tasks beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A body for mapInArrow or mapInPandas that gives memory back at times and when it ends."""
+
+    @functools.wraps(run)
+    def body(batches: Iterator) -> Iterator:
+        try:
+            out = None
+            for k, out in enumerate(run(batches)):
+                yield out
+                if k % 32 == 31:
+                    give_back()
+        finally:
+            del out
+            give_back()
+
+    return body
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 1_000_000, text: int | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice stay below ``chars`` bytes, however long single texts are."""
     for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, slices, table, without_ids
+from skein.llm.common import cut, released, slices, table, without_ids
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -58,7 +58,7 @@ def fit(rows: DataFrame, smoothing: float = 0.1) -> TextModel:
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    seen = rows.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen = rows.select("text", "lang").mapInArrow(released(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(seen["lang"].unique())
     counts = np.zeros((len(langs) + 1, BUCKETS))
     counts[seen["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int), seen["bucket"].to_numpy(int)] = seen["n"]
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     declared = primary(F.col(declared_col)) if declared_col else none
     host = F.lower(F.col(host_col).cast("string")) if host_col else none
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), declared.alias("declared"), host.alias("host"), F.regexp_extract(F.coalesce(host, F.lit("")), r"\.([a-z]{2,})$", 1).alias("suffix"), F.col(text_col).cast("string").alias("text"))
-    seen = cut(keyed.mapInArrow(text_evidence(model), "doc_id long, declared string, host string, suffix string, logs array<double>").withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+|[^.]+)$", 1)).withColumn("best", _index_of_max(F.col("logs"))))
+    seen = cut(keyed.mapInArrow(released(text_evidence(model)), "doc_id long, declared string, host string, suffix string, logs array<double>").withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+|[^.]+)$", 1)).withColumn("best", _index_of_max(F.col("logs"))))
 
     # grouped counts of what the texts say; und has no part in them
     said = seen.where(F.col("best") < k - 1)

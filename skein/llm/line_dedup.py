@@ -13,13 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from skein.llm.common import BROADCAST_IDS, connected_components, cut, slices, spanning_links, table
+from skein.llm.common import BROADCAST_IDS, connected_components, cut, released, slices, spanning_links, table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -171,7 +171,7 @@ def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str) -> Data
             both = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(both[:, 0] & ~1), pa.array(both[:, 1].copy())], ["doc_id", "line_no", "a", "b"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, line_no long, a long, b long")
+    return _texts(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, line_no long, a long, b long")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,8 +216,8 @@ def near_keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
                     keys, owners = keys[:0], owners[:0]
         yield from _shared(keys, owners, passed)
 
-    signed = docs.mapInArrow(sign, "key long, owner long").repartition("key").sortWithinPartitions("key")
-    rows = signed.mapInArrow(shared, "key long, owner long")
+    signed = docs.mapInArrow(released(sign), "key long, owner long").repartition("key").sortWithinPartitions("key")
+    rows = signed.mapInArrow(released(shared), "key long, owner long")
     rows = rows.groupBy("key", F.col("owner").bitwiseAND(-2).alias("node")).agg(F.max(F.col("owner").bitwiseAND(1)).alias("index"))
     rows = cut(rows)
     good = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("index").alias("any")).where("n > 1 and any = 1")
@@ -248,7 +248,7 @@ def near_lines(docs: DataFrame, edits: int = 2, least: int = 20, tile: int = 512
             lines = _lines_of(batch, least)
             yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(list(lines.values()), pa.string())], ["a", "line"])
 
-    lines = texts.mapInArrow(run, "a long, line string")
+    lines = texts.mapInArrow(released(run), "a long, line string")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     lines = lines.join(F.broadcast(wanted) if few else wanted, F.col("a") == F.col("node"), "left_semi")
     lines = lines.groupBy("a").agg(F.min("line").alias("line"))
@@ -256,7 +256,7 @@ def near_lines(docs: DataFrame, edits: int = 2, least: int = 20, tile: int = 512
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node")
     rows = rows.join(lines, rows["node"] == lines["a"]).select("tile", "node", "line")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(edits), "src long, dst long")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(released(_verify(edits)), "src long, dst long")
 
 
 def _verify(edits: int):
@@ -317,7 +317,7 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str
 def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of the texts; all rows and other columns stay.
 
-    ``count_col`` names a column that holds the length of the text, to be kept right.
+    ``count_col`` names a column that is set to the length of the text.
 
     A line counts without outer white space. Lines of fewer than ``least`` characters always stay, and so do the texts of
     rows without an id. Null texts stay null; a text all of whose lines go becomes empty. Rows that repeat an id are taken
@@ -327,24 +327,27 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str =
     gone = repeated_lines(docs, edits, least, id_col, text_col).where("doc_id is not null")
     gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("line_no", "a")).alias("__gone"))
 
-    @F.pandas_udf("string")
-    def without(texts, gone):
-        out = []
-        for text, numbers in zip(texts, gone):
-            if numbers is None or text is None:
-                out.append(text)
-                continue
-            drop = {(x["line_no"], x["a"]) for x in numbers}
-            at = {k for k, _ in drop}
-            out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in at or (k, node_of(x.strip())[0]) not in drop))
-        return pd.Series(out, dtype=object)
-
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(without(F.col(text_col).cast("string"), F.col("__gone")))
-    out = joined.withColumn(text_col, text)
+    at, schema = docs.columns.index(text_col), StructType([StructField(f.name, StringType()) if f.name == text_col else f for f in docs.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text=at):
+            out = [_without(text, numbers) if numbers and text else text for text, numbers in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    joined = rows.join(gone, rows[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    out = joined.mapInArrow(released(run), schema)
     if count_col and count_col in docs.columns:
-        out = out.withColumn(count_col, F.when(F.col("__gone").isNull(), F.col(count_col)).otherwise(F.length(text_col)).cast(docs.schema[count_col].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn(count_col, F.coalesce(F.length(text_col), F.col(count_col)).cast(docs.schema[count_col].dataType))
+    return out
+
+
+def _without(text: str, numbers: list[dict]) -> str:
+    drop = {(x["line_no"], x["a"]) for x in numbers}
+    at = {k for k, _ in drop}
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in at or (k, node_of(x.strip())[0]) not in drop)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

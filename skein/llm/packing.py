@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import slices, table
+from skein.llm.common import released, slices, table
 from skein.llm.tokens import default_path, tokens
 
 TIERS = (1024, 512, 256, 128)
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, buckets: int, i
             yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(rows), pa.int32())], names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut_up = source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, no long, part int")
+    cut_up = source.mapInArrow(released(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, no long, part int")
     return cut_up.withColumn("bucket", F.pmod(F.xxhash64("part", "no"), F.lit(buckets)).cast("int"))
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import connected_components, cut, slices, spanning_links, without_ids
+from skein.llm.common import connected_components, cut, released, slices, spanning_links, without_ids
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), "doc_id long, fp long")
 
 
 def block_keys(fp: Column, blocks: int, distance: int) -> Column:
@@ -112,7 +112,7 @@ def hamming_links(fps: DataFrame, distance: int = 4, blocks: int = 6, tile: int
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("part", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp")
     rows = rows.repartition("tile").sortWithinPartitions("tile")
-    return rows.mapInPandas(_compare(distance), "src long, dst long")
+    return rows.mapInPandas(released(_compare(distance)), "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, words: int = 4, blocks: int = 6) -> DataFrame:

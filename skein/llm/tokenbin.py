@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, slices, table
+from skein.llm.common import cut, released, slices, table
 from skein.llm.tokens import default_path, tokens
 
 END = 50256
@@ -71,7 +71,7 @@ def sequences(docs: DataFrame, path: str, length: int, end_id: int, id_col: str,
             no += len(doc)
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(doc), pa.int32()), numbers, pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.binary())], ["part", "no", "doc_id", "start", "n", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part int, no long, doc_id long, start long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), "part int, no long, doc_id long, start long, n long, ids binary")
 
 
 def ordered(docs: DataFrame, path: str, key: str, length: int, per_shard: int, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -89,7 +89,7 @@ def ordered(docs: DataFrame, path: str, key: str, length: int, per_shard: int, e
             index = before[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(feistel(index, total, key)), *(batch.column(k) for k in range(2, 6))], ["slot", "doc_id", "start", "n", "ids"])
 
-    placed = found.mapInArrow(place, "slot long, doc_id long, start long, n long, ids binary")
+    placed = found.mapInArrow(released(place), "slot long, doc_id long, start long, n long, ids binary")
     shards = -(-total // per_shard)
     ranges = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     target = F.least((F.col("slot") * 1.0 / per_shard).cast("long") * ranges / shards, F.lit(ranges - 1.0)).cast("int")
@@ -128,7 +128,7 @@ def materialise(docs: DataFrame, out: str | None = None, path: str | None = None
         if fs:
             _finish(fs, base, current, stream)
 
-    return rows.mapInArrow(write, DIGEST)
+    return rows.mapInArrow(released(write), DIGEST)
 
 
 def _files(out: str) -> tuple[pafs.FileSystem, str]:

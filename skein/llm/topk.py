@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import tiles
+from skein.llm.common import released
 
 
 def best_of_block(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +78,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
                 a, b, s = best_of_block(q.astype(np.int64), c.astype(np.int64), q_ids, c_ids, k)
                 yield pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
-    part = asked.join(packed.hint("shuffle_hash"), ["dim", "block"]).select("ids", "data", "q_ids", "q_data").mapInPandas(run, "query_id long, vec_id long, score long")
+    part = asked.join(packed.hint("shuffle_hash"), ["dim", "block"]).select("ids", "data", "q_ids", "q_data").mapInPandas(released(run), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from skein.llm.common import cut, slices, table
+from skein.llm.common import cut, released, slices, table
 
 ORDERS = (4, 5, 6)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +96,7 @@ def fit(rows: DataFrame, max_features: int = 2048, smoothing: float = 1.0, l2: f
     if not sizes["p"] or not sizes["n"]:
         return none._replace(bias=float("inf") if sizes["p"] else float("-inf"))
     p, n = float(sizes["p"]), float(sizes["n"])
-    seen = rows.mapInArrow(count, "code long, ones long, zeros long").groupBy("code").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b"))
+    seen = rows.mapInArrow(released(count), "code long, ones long, zeros long").groupBy("code").agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi = (a * (n - b) - b * (p - a)) ** 2 / ((a + b) * (p + n - a - b) + 1)
     chosen = seen.where("a + b >= 3").orderBy(chi.desc(), "code").limit(max_features).toPandas()
@@ -115,7 +115,7 @@ def fit(rows: DataFrame, max_features: int = 2048, smoothing: float = 1.0, l2: f
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(c.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], ["label", "places"])
 
-    sample = rows.mapInArrow(places, "label int, places array<int>").toPandas()
+    sample = rows.mapInArrow(released(places), "label int, places array<int>").toPandas()
     y = sample["label"].to_numpy(float)
     size = sample["places"].map(len).to_numpy()
     col = np.concatenate([np.zeros(0, np.int32), *sample["places"]]).astype(np.int64)
@@ -141,18 +141,16 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-z))
 
 
-def scorer(model: Model):
-    """A pandas UDF: the score of a text."""
+def with_score(rows: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``rows`` with the score of a text column; other columns pass through."""
+    at, schema = rows.columns.index(text_col), StructType([*rows.schema.fields, StructField(name, DoubleType())])
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = [np.zeros(0)]
-            for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["t"])], chars=300_000, text=0):
-                out.append(scores(model, part.column(0).to_pylist()))
-            yield pd.Series(np.concatenate(out))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, chars=300_000, text=at):
+            found = pa.array(scores(model, batch.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
-    return score
+    return rows.mapInArrow(released(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000) -> Model:
@@ -172,15 +170,14 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Without rows of both labels to learn from, every score is 1 or 0, whichever was seen, and 0 if none was.
     """
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), scorer(model)(F.col(text_col).cast("string")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return with_score(rows, model).drop("text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more."""
     model = train(docs, labels)
-    columns = docs.columns
-    return docs.withColumn("__score", scorer(model)(F.col("text").cast("string"))).where(F.col("__score") < threshold).select(*columns)
+    return with_score(docs, model, name="__score").where(F.col("__score") < threshold).drop("__score")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
