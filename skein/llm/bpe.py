@@ -65,14 +65,15 @@ def pair_table(path: str) -> tuple[list[int], list[int], list[int]]:
     for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
         rights, values = np.array(sorted(rows[left])).T
         shape = rights - rights[0]
-        start, fits = 0, np.zeros(1, bool)
-        while not fits.any():
+        start, spots = 0, np.zeros(0, np.int64)
+        while not len(spots):
             if len(rights) > 8:
-                spots, start = start + np.flatnonzero(~used[start : start + 512]), start + 512
+                spots, start = start + np.flatnonzero(~used[start : start + 4096]), start + 4096
             else:
                 spots = draw.integers(0, end - size, 64)
-            fits = ~used[spots[:, None] + shape].any(axis=1) if len(spots) else np.zeros(1, bool)
-        at = int(spots[np.argmax(fits)]) - rights[0]
+            for k in range(0, len(shape), 16):  # most places fail within the first few
+                spots = spots[~used[spots[:, None] + shape[k : k + 16]].any(axis=1)]
+        at = int(spots[0]) - rights[0]
         offsets[left] = at
         used[at + rights], lefts[at + rights], made[at + rights] = True, left, values
     end = int(np.flatnonzero(used)[-1]) + 1 if total else 0

@@ -59,4 +59,42 @@ ORACLES = {
         SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
         FROM embeddings e JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)
     """,
+    "op10_url_filter": r"""
+        WITH RECURSIVE u AS (
+            SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+            FROM pages
+        ), rules(action, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+        j AS (
+            SELECT page_id, html, host, path, arg_max(action, length(h || p)) AS action, arg_max(h || p, length(h || p)) AS rule
+            FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+            GROUP BY page_id, html, host, path
+        ), hosts AS (
+            SELECT host, count(*) AS n, count(*) FILTER (action = 'block') AS blocked, count(*) FILTER (action = 'allow') AS allowed FROM j WHERE host <> '' GROUP BY host
+        ), w AS (
+            SELECT host, CASE WHEN blocked / n >= 0.5 THEN 'distrust' WHEN allowed > blocked THEN 'trust' END AS kind, CASE WHEN blocked / n >= 0.5 THEN blocked / n ELSE 1 - blocked / n END AS weight FROM hosts
+        ), seeds AS (SELECT host, kind, weight / sum(weight) OVER (PARTITION BY kind) AS start FROM w WHERE kind IS NOT NULL),
+        l AS (
+            SELECT host AS src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
+                SELECT host, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?:(?:href|src)\s*=\s*["'']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//|&copy;\s*)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1))) AS named, lower(named) AS dst FROM j WHERE host <> '')
+            WHERE host <> dst GROUP BY 1, 2
+        ), e AS (
+            SELECT src, dst, kind, weight / sum(weight) OVER (PARTITION BY src, kind) AS share
+            FROM (SELECT src, dst, 'trust' AS kind, weight FROM l UNION ALL SELECT dst, src, 'distrust', weight FROM l)
+        ), has_out AS (SELECT DISTINCT src, kind FROM e),
+        it(k, host, kind, mass) AS (
+            SELECT 0, host, kind, start FROM seeds
+            UNION ALL
+            SELECT k + 1, host, kind, sum(part) FROM (
+                SELECT it.k, e.dst AS host, it.kind, 0.85 * mass * share AS part, it.host AS of FROM it JOIN e ON e.src = it.host AND e.kind = it.kind WHERE it.k < 12
+                UNION ALL
+                SELECT it.k, s.host, it.kind, mass * (CASE WHEN o.src IS NULL THEN 1 ELSE 0.15 END) * s.start, it.host
+                FROM it JOIN seeds s ON s.kind = it.kind LEFT JOIN has_out o ON o.src = it.host AND o.kind = it.kind WHERE it.k < 12)
+            GROUP BY k, host, kind
+        ), m AS (
+            SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust FROM it WHERE k = 12 GROUP BY host
+        )
+        SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN round(coalesce(distrust, 0), 12) > round(coalesce(trust, 0), 12) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM j LEFT JOIN m USING (host)
+    """,
 }

@@ -187,3 +187,24 @@ def test_distrust_follows_links_backwards(spark):
     rows = [(1, "http://bad.com/en/1", ""), (2, "http://friend.edu/a", link("bad.com")), (3, "http://other.edu/a", link("good.net")), (4, "http://good.net/de/1", link("linked.edu")), (5, "http://linked.edu/x", None), (6, "http://far.edu/x", '<footer>&copy; friend.edu')]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: ("com/en/", "block"), 2: (None, "block"), 3: (None, "allow"), 4: ("net/de/", "allow"), 5: (None, "allow"), 6: (None, "block")}
+
+
+def test_oracle_of_the_url_filter_with_links(spark, tmp_path):
+    import duckdb
+
+    from skein.llm import queries
+
+    draw = random.Random(7)
+    hosts = [f"{a}.example.{b}" for a in ("a", "b", "c", "d") for b in ("com", "net", "org", "edu")]
+    rows = []
+    for k in range(120):
+        links = "".join(draw.choice(['<a href="https://{}/x">', "<img src='//{}/y'>", "&copy; {} "]).format(draw.choice(hosts)) for _ in range(draw.randint(0, 3)))
+        rows.append((k, f"http://{draw.choice(hosts)}/{draw.choice(['en', 'de', 'es', 'fr'])}/{draw.randint(1, 99)}", links if k % 9 else None))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    rel = con.sql(queries.ORACLES["op10_url_filter"])
+    want = sorted(tuple(map(str, r)) for r in rel.fetchall())
+    got = url_filter.op10_url_filter(spark, str(tmp_path)).select(*rel.columns)
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == want
+    assert not url_filter.host_edges(spark.read.parquet(f"{tmp_path}/pages.parquet").withColumn("host", url_filter.host_and_path(F.col("url"))[0])).isEmpty()
