@@ -55,7 +55,7 @@ def rank_stores(usages: DataFrame, items: DataFrame) -> DataFrame:
     """
     u = usages.select("usage_id", normal_name(F.col("item_name")).alias("k"), normal_name(F.coalesce("store_name", F.lit(""))).alias("us"))
     i = items.select("item_id", "ordinal", normal_name(F.col("item_name")).alias("k"), normal_name(F.col("store_name")).alias("ist"))
-    pairs = u.join(i.withColumn("n", F.count("*").over(Window.partitionBy("k"))), "k")
+    pairs = u.join(i.join(i.groupBy("k").agg(F.count("*").alias("n")), "k"), "k")
     fuzzy = (F.col("us") != "") & (F.col("us").contains(F.col("ist")) | F.col("ist").contains(F.col("us")))
     kind = F.when(F.col("us") == F.col("ist"), 0).when(fuzzy, 1).when(F.col("n") == 1, 2)
     return first_of(pairs.withColumn("kind", kind).where("kind is not null").select("usage_id", "item_id", "kind", "ordinal"), ["usage_id"], ["kind", "ordinal"]).select("usage_id", "item_id")
