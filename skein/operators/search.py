@@ -8,15 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import code_tokens
+from skein.plans.lineage import cut
 
 LIMIT, MOST = 15, 30  # fixed values
 
 
-def postings(docs: DataFrame, text: Column | str = "text", key: str = "doc_id") -> DataFrame:
-    """(token, doc_id, tf): the index of a corpus, worth writing once, laid out by token."""
+def postings(docs: DataFrame, text: Column | str = "text", key: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
+    """(token, doc_id, tf): the index of a corpus, worth writing once, laid out by token.
+
+    With ``terms`` only their entries are made: texts that hold none of them are left out before they are split.
+    """
     text = F.col(text) if isinstance(text, str) else text
-    terms = docs.select(F.col(key).alias("doc_id"), F.explode(code_tokens(text)).alias("token"))
-    return terms.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
+    tokens = code_tokens(text)
+    if terms is not None:
+        low, found = F.lower(text), F.lit(False)
+        for t in terms:
+            found = found | low.contains(t)
+        docs, tokens = docs.where(found), F.filter(tokens, lambda t: t.isin(terms))
+    return docs.select(F.col(key).alias("doc_id"), F.explode(tokens).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -34,7 +43,7 @@ def query_terms(text: str) -> list[str]:
 
 def tfidf(index: DataFrame, total: int, terms: list[str]) -> DataFrame:
     """(doc_id, score) of the documents that hold a term: the cosine over the query's terms alone."""
-    wanted = index.where(F.col("token").isin(terms))
+    wanted = cut(index.where(F.col("token").isin(terms)))  # read twice
     df = {r["token"]: r["n"] for r in wanted.groupBy("token").agg(F.count("*").alias("n")).collect()}  # as many rows as terms
     idf = {t: math.log((total + 1) / (df.get(t, 1) + 1)) + 1 for t in terms}
     norm = math.sqrt(sum(w * w for w in idf.values()))
@@ -59,7 +68,7 @@ def search(docs: DataFrame, query: str, limit: int | None = None, kind: str | No
     corpus = docs.where(F.col("kind") == kind) if kind else docs
     terms = query_terms(query)
     if index is None:
-        index = postings(corpus, "text")
+        index = postings(corpus, "text", terms=terms)
     scored = corpus.join(tfidf(index, corpus.count(), terms), "doc_id", "left")
     total = F.coalesce("score", F.lit(0.0)) + name_boost(F.col("name"), query)
     found = scored.select("doc_id", "name", "kind", total.alias("score")).where("score > 0")

@@ -243,7 +243,8 @@ def _part_docs(spark, sf_dir):
 @query(f"WITH {_tfidf_sql('SELECT doc_id, text FROM documents', ['with', 'the', 'idiot'])} SELECT doc_id, round(score, 6) AS score FROM scores")
 def tfidf_search(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return search.tfidf(search.postings(docs), docs.count(), ["with", "the", "idiot"]).select("doc_id", F.round("score", 6).alias("score"))
+    terms = ["with", "the", "idiot"]
+    return search.tfidf(search.postings(docs, terms=terms), docs.count(), terms).select("doc_id", F.round("score", 6).alias("score"))
 
 
 BOOST = "CASE WHEN lower(name) = '{0}' THEN 0.5 WHEN contains(lower(name), '{0}') THEN 0.3 ELSE 0 END + CASE WHEN starts_with(lower(name), '{0}') THEN 0.2 ELSE 0 END"
