@@ -36,7 +36,7 @@ def changed_functions(ranges: DataFrame, functions: DataFrame, line: str = "file
     """
     spans = functions.select("id", "name", "kind", "file_path", F.col(line).alias("start_line"), (F.col("end_line") + F.col(line) - F.col("start_line")).alias("end_line"))
     met = overlaps(ranges, spans, "file_path")
-    return first_of(met, ["file_path", "name"], ["ordinal", "start_line"]).select("id", "name", "kind", "file_path", "start_line", "low", "high")
+    return first_of(met, ["file_path", "name"], ["ordinal", "start_line", F.length("id"), "id"]).select("id", "name", "kind", "file_path", "start_line", "low", "high")
 
 
 def diff_impact(ranges: DataFrame, functions: DataFrame, calls: DataFrame, depth: int = 3, line: str = "file_start_line") -> DataFrame:

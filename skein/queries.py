@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import diff, graph, joins, layout, search, traverse
+from skein.operators import detectors, diff, graph, joins, layout, search, traverse
 from skein.plans.cypher import Catalog, cypher
 from skein.sources import tables
+from skein.sources.facts import facts as fact_table
+from skein.sources.facts import of
 from skein.sources.tables import ident, read
+from skein.streaming.edges import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -264,7 +267,7 @@ def search_by_kind(spark, sf_dir):
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, '<(script|style|nav|article|footer)[^>]*>', 1)) AS tag, count(*) AS n FROM pages GROUP BY 1, 2")
-def page_blocks(spark, sf_dir):
+def sfc_blocks(spark, sf_dir):
     tags = F.regexp_extract_all("html", F.lit("<(script|style|nav|article|footer)[^>]*>"), F.lit(1))
     return read(spark, sf_dir, "pages").select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
@@ -489,3 +492,42 @@ def sessionize(spark, sf_dir):
     rows = read(spark, sf_dir, "events").withColumn("brk", F.when(gap <= F.expr("INTERVAL 30 MINUTE"), 0).otherwise(1))
     session = F.sum("brk").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("session", session).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+def stream_edge_counts(spark, sf_dir):
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# the source scanner on the scripts of pages
+
+
+def _scripts(spark, sf_dir) -> DataFrame:
+    script = F.regexp_extract("html", "(?s)<script[^>]*>(.*?)</script>", 1)
+    rows = read(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("path"), script.alias("content"))
+    return rows.select("path", F.col("path").alias("rel_path"), "content", F.lit("page").alias("entity_type"))
+
+
+@query(r"SELECT page_id || '.js' AS path, 'track' AS callee, regexp_extract(html, 'track\(([0-9]+)\)', 1) AS argument FROM pages")
+def scan_calls(spark, sf_dir):
+    calls = detectors.detect(fact_table(_scripts(spark, sf_dir)), "call_expression", "tr*k")
+    return calls.select("path", F.col("name").alias("callee"), F.element_at("args", 1).alias("argument"))
+
+
+@query("SELECT page_id || '.js' AS path, 'unknown' AS api_mode, CAST(false AS BOOLEAN) AS has_default FROM pages")
+def scan_properties(spark, sf_dir):
+    found = of(fact_table(_scripts(spark, sf_dir)), "properties")
+    return found.select("path", F.get_json_object("text", "$.apiMode").alias("api_mode"), (F.get_json_object("text", "$.hasDefaultExport") == "true").alias("has_default"))
+
+
+@query("""WITH f AS (SELECT doc_id, source, 'f' || (doc_id % 50) AS name, doc_id % 300 AS start_line, doc_id % 300 + n_chars // 100 AS end_line FROM documents),
+    r AS (SELECT 'src' || (o_orderkey % 20) AS source, o_orderkey % 600 AS low, o_orderkey % 600 + 2 AS high, o_orderkey AS ordinal FROM orders WHERE o_orderkey < 300),
+    m AS (SELECT f.source, f.name, f.doc_id, row_number() OVER (PARTITION BY f.source, f.name ORDER BY r.ordinal, f.start_line, f.doc_id) AS k FROM f JOIN r ON f.source = r.source AND low <= end_line AND high >= start_line)
+    SELECT source, name, 'f:' || doc_id AS id FROM m WHERE k = 1""")
+def changed_functions(spark, sf_dir):
+    start = F.col("doc_id") % 300
+    functions = read(spark, sf_dir, "documents").select(ident("f", "doc_id").alias("id"), F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.col("lang").alias("kind"), F.col("source").alias("file_path"), start.alias("start_line"), (start + F.floor(F.col("n_chars") / 100)).alias("end_line"), start.alias("file_start_line"))
+    key = F.col("o_orderkey")
+    ranges = read(spark, sf_dir, "orders").where("o_orderkey < 300").select(F.concat(F.lit("src"), (key % 20).cast("string")).alias("file_path"), (key % 600).alias("low"), (key % 600 + 2).alias("high"), key.alias("ordinal"))
+    return diff.changed_functions(ranges, functions).select(F.col("file_path").alias("source"), "name", "id")
