@@ -132,15 +132,120 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller doc_id; rows of null doc_id stay.
+def long_fingerprints(texts: list[str | None], words: int, bits: int) -> np.ndarray:
+    """(texts, bits) booleans: SimHash with ``bits`` bits, each of them 1 if set in over half the shingles' hashes.
+
+    The hashes of a shingle are its 64-bit hash mixed with one constant a 64 bits. Wordless texts have no bit set.
+    """
+    mixers = np.array([xxhash.xxh64_intdigest(str(k), 7) | 1 for k in range(bits // 64)], np.uint64)
+    out = np.zeros((len(texts), bits), bool)
+    for row, text in enumerate(texts):
+        parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not parts:
+            continue
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        stops = np.cumsum(size + 1) - 1
+        n = max(1, len(parts) - words + 1)
+        begin, end, whole = (stops - size)[:n].tolist(), stops[min(words, len(parts)) - 1 :].tolist(), b" ".join(parts)
+        counts = np.zeros(bits, np.int64)
+        for at in range(0, n, 4096):
+            hashes = np.array([xxhash.xxh64_intdigest(whole[s:e], 42) for s, e in zip(begin[at : at + 4096], end[at : at + 4096])], np.uint64)
+            mixed = hashes[:, None] * mixers
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            counts += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        out[row] = 2 * counts > n
+    return out
+
+
+def distance_for(similarity: float, bits: int) -> int:
+    """How many bits two texts of that Jaccard similarity of shingles are expected to differ in."""
+    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def key_places(bits: int, keys: int, key_bits: int) -> np.ndarray:
+    """(keys, key_bits) places of the bits of each key, a fixed draw."""
+    draw = np.random.default_rng(0)
+    return np.stack([draw.permutation(bits)[:key_bits] for _ in range(keys)])
+
+
+def _compare_long(distance: int):
+    def links(tile: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+        stops = np.repeat(np.r_[cuts, len(tile)], np.diff(np.r_[0, cuts, len(tile)]))
+        left, shift, joined = np.arange(len(tile)), 1, np.arange(len(tile))
+        found = [np.zeros(0, np.int64)] * 2
+        while len(left := left[left + shift < stops[left]]):
+            fresh = left[joined[left] != joined[left + shift]]  # linked pairs need no comparison
+            near = [fresh[k : k + 65536][np.bitwise_count(fp[fresh[k : k + 65536]] ^ fp[fresh[k : k + 65536] + shift]).sum(axis=1, dtype=np.int64) <= distance] for k in range(0, len(fresh), 65536)]
+            near = np.concatenate([np.zeros(0, np.int64), *near])
+            if len(near):
+                found = [np.r_[found[0], near], np.r_[found[1], near + shift]]
+                moved, to = spanning_links(len(tile), *found)
+                joined[moved] = to
+            shift += 1
+        x, y = spanning_links(len(tile), *found)
+        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["src", "dst"])
+
+    def run(batches):
+        tile, node, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in slices(batches, rows=8192):
+            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            tile, node = np.r_[tile, batch.column(0).to_numpy()], np.r_[node, batch.column(1).to_numpy()]
+            fp = words if fp is None else np.concatenate([fp, words])
+            if len(tile) and tile[0] != tile[-1]:
+                end = len(tile) - int(np.argmax(tile[::-1] != tile[-1]))
+                yield links(tile[:end], node[:end], fp[:end])
+                tile, node, fp = tile[end:], node[end:], fp[end:]
+        if len(tile):
+            yield links(tile, node, fp)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 512, keys: int = 96, key_bits: int = 28, tile: int = 1024) -> DataFrame:
+    """(doc_id, component_id): groups of texts of about ``similarity`` or more, by long fingerprints.
+
+    64 bits tell texts of similarity 0.8 and 0.6 hardly apart, and no two of similarity 0.8 share many blocks. So here
+    fingerprints have ``bits`` bits, link at the distance that ``similarity`` is expected to give, and are compared where
+    one of ``keys`` keys of ``key_bits`` drawn bits is equal. With the defaults a pair of similarity 0.9 shares a key with
+    probability 0.99, one of 0.85 with 0.87, one of 0.8 with 0.61, and any pair of a larger group may link it. Equal
+    fingerprints are one node. Nulls, empty and repeated rows and empty tables are as in ``simhash_groups``.
+    """
+
+    def read(batches):
+        for batch in slices(batches, text=1):
+            packed = np.packbits(long_fingerprints(batch.column(1).to_pylist(), words, bits), axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "fp"])
+
+    def key_rows(batches):
+        places, weights = key_places(bits, keys, key_bits), np.int64(1) << np.arange(key_bits, dtype=np.int64)
+        for batch in slices(batches, rows=256):
+            own = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+            found = (own[:, places].astype(np.int64) * weights).sum(axis=2) | (np.arange(keys, dtype=np.int64) << key_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys))], ["key", "node"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = cut(source.mapInArrow(released(read), "doc_id long, fp binary"))
+    nodes = cut(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    keyed = nodes.select("node", "fp").mapInArrow(released(key_rows), "key long, node long")
+    shared = keyed.groupBy("key").count().where("count > 1")
+    rows = keyed.join(shared, "key").withColumn("parts", F.ceil(F.col("count") / tile).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node").join(nodes, "node").select("tile", "node", "fp")
+    links = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(released(_compare_long(distance_for(similarity, bits))), "src long, dst long")
+    groups = connected_components(links)
+    named = cut(nodes.join(groups.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    return found.join(named, "fp", "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose group (doc_id, component_id) has a smaller doc_id; rows of null doc_id stay.
 
     All rows that carry a kept doc_id stay, so exact repetitions of a row are not told apart here.
     """
-    groups = simhash_groups(docs, **options)
-    id_col = options.get("id_col", "doc_id")
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return without_ids(docs, gone, id_col)
+    return without_ids(docs, groups.where("doc_id <> component_id").select("doc_id"), id_col)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
