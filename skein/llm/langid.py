@@ -111,65 +111,82 @@ def _index_of_max(logs: Column) -> Column:
     return F.array_position(logs, F.array_max(logs)).cast("int") - 1
 
 
+def _sum(numbers: Column | str) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x)
+
+
+def _constants(numbers: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in numbers])
+
+
+def _smoothed(n: Column, wider: Column, pull: float) -> Column:
+    """Shares of the counts ``n`` after ``pull`` more documents with the shares of the wider level."""
+    return F.zip_with(n, wider, lambda a, p: (a + pull * p) / (_sum(n) + pull))
+
+
+def host_priors(said: DataFrame, per_lang: Column, general: Column, pull: float) -> DataFrame:
+    """(host, prior): shares of languages, smoothed towards the host's domain and that towards the table."""
+    domains = said.where("domain <> ''").groupBy("domain").agg(per_lang.alias("n")).select("domain", _smoothed(F.col("n"), general, pull).alias("wider"))
+    hosts = said.where("host <> ''").groupBy("host", "domain").agg(per_lang.alias("n")).join(domains, "domain", "left")
+    return hosts.select("host", _smoothed(F.col("n"), F.coalesce("wider", general), pull).alias("prior"))
+
+
+def evidence(said: DataFrame, per_lang: Column, by: str, top: list[float], add: float = 0.5, most: int = 2000) -> DataFrame:
+    """(value, given_, any_): P(value of ``by`` | language) and P(value), by smoothed counts.
+
+    Only the ``most`` commonest values (language tags, suffixes) are evidence, so the result may be broadcast.
+    """
+    counts = said.where(F.col(by) != "").groupBy(by).agg(per_lang.alias("n")).orderBy(F.desc(_sum("n")), by).limit(most)
+    given = F.zip_with("n", _constants(top), lambda a, t: (a + add) / (t + 10 * add))
+    return counts.select(F.col(by), given.alias(f"given_{by}"), ((_sum("n") + add) / (sum(top) + 10 * add)).alias(f"any_{by}"))
+
+
+def fuse(seen: DataFrame, langs: list[str], pull: float, und_prior: float) -> DataFrame:
+    """``seen`` with the log of the joint of each language in ``fused``; null without letters."""
+    known = len(langs) - 1
+    if not known:
+        return seen.withColumn("fused", F.col("logs"))
+    said = seen.where(F.col("best") < known)  # what the texts alone say; und has no part in the counts
+    per_lang = F.array(*[F.count_if(F.col("best") == i).cast("double") for i in range(known)])
+    top = said.agg(per_lang.alias("n")).first()["n"]
+    general, ones = _constants([(x + 1) / (sum(top) + known) for x in top]), _constants([1.0] * known)
+    rows = seen.join(host_priors(said, per_lang, general, pull), "host", "left")
+    for by in ("declared", "suffix"):
+        rows = rows.join(F.broadcast(evidence(said, per_lang, by, top)), by, "left")
+    part = lambda name, default, i: F.log(F.get(F.coalesce(name, default), i))
+    each = F.transform(F.sequence(F.lit(0), F.lit(known - 1)), lambda i: F.get("logs", i) + float(np.log(1 - und_prior)) + part("prior", general, i) + part("given_declared", ones, i) + part("given_suffix", ones, i))
+    # und is as likely as any text to come with a declaration or a suffix
+    und = F.get("logs", F.lit(known)) + float(np.log(und_prior)) + F.log(F.coalesce("any_declared", F.lit(1.0))) + F.log(F.coalesce("any_suffix", F.lit(1.0)))
+    return rows.withColumn("fused", F.when(F.col("logs").isNotNull(), F.concat(each, F.array(und))))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", model: TextModel | None = None, pull: float = 10.0, und_prior: float = 0.01, least: float = 0.5) -> DataFrame:
     """(doc_id, lang, posterior, text_lang, accepted) for every row.
 
     ``pull``: how many documents the wider level counts as in a prior. A row is accepted if its language isn't "und" and
     the posterior reaches ``least``. Null, empty and letterless texts are "und" with posterior 1; null or unknown
     declarations and hosts bring no evidence; ties go to the first language by name; repeated rows come back repeated;
-    an empty table gives no rows. Whole texts count.
+    an empty table gives no rows. Whole texts count. Rows join the priors of their hosts by a shuffle, which Spark splits
+    at a host with many rows.
     """
     none = F.lit(None).cast("string")
     model = model or train(docs, text_col, declared_col, id_col)
-    langs, k = model.langs, len(model.langs)
     declared = primary(F.col(declared_col)) if declared_col else none
     host = F.lower(F.col(host_col).cast("string")) if host_col else none
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), declared.alias("declared"), host.alias("host"), F.regexp_extract(F.coalesce(host, F.lit("")), r"\.([a-z]{2,})$", 1).alias("suffix"), F.col(text_col).cast("string").alias("text"))
-    seen = cut(keyed.mapInArrow(released(text_evidence(model)), "doc_id long, declared string, host string, suffix string, logs array<double>").withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+|[^.]+)$", 1)).withColumn("best", _index_of_max(F.col("logs"))))
-
-    # grouped counts of what the texts say; und has no part in them
-    said = seen.where(F.col("best") < k - 1)
-    per = [F.count_if(F.col("best") == i).cast("double") for i in range(k - 1)]
-    counts = lambda by: said.where(F.col(by) != "").groupBy(by).agg(F.array(*per).alias("n"))
-    top = said.agg(F.array(*per).alias("n")).first()["n"]
-    general = [(x + 1) / (sum(top) + k - 1) for x in top]
-    smooth = lambda n, wider: F.zip_with(n, wider, lambda a, p: (a + pull * p) / (F.aggregate(n, F.lit(0.0), lambda s, x: s + x) + pull))
-    flat = F.array(*[F.lit(x) for x in general]) if k > 1 else F.array().cast("array<double>")
-    domains = counts("domain").select(F.col("domain").alias("d"), smooth(F.col("n"), flat).alias("domain_prior"))
-    hosts = said.where("host <> ''").groupBy("host", "domain").agg(F.array(*per).alias("n")) if k > 1 else None
-    if k > 1:
-        priors = hosts.join(domains, hosts["domain"] == domains["d"], "left").select(F.col("host").alias("h"), smooth(F.col("n"), F.coalesce("domain_prior", flat)).alias("prior"))
-        given = lambda by: (smooth_given(counts(by), by, top))
-        rows = seen.join(priors, seen["host"] == priors["h"], "left").drop("h")
-        rows = given("declared")(rows, "declared")
-        rows = given("suffix")(rows, "suffix")
-        ones = F.array_repeat(F.lit(1.0), k - 1)
-        fused = F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda i: F.element_at("logs", i + 1) + F.log(F.get(F.coalesce("prior", flat), i) * (1 - und_prior)) + F.log(F.get(F.coalesce("p_declared", ones), i)) + F.log(F.get(F.coalesce("p_suffix", ones), i)))
-        # und is as likely as any to come with a declaration or a suffix
-        logs = F.concat(fused, F.array(F.element_at("logs", k) + float(np.log(und_prior)) + F.log(F.coalesce("any_declared", F.lit(1.0))) + F.log(F.coalesce("any_suffix", F.lit(1.0)))))
-        rows = rows.withColumn("fused", F.when(F.col("logs").isNotNull(), logs))
-    else:
-        rows = seen.withColumn("fused", F.col("logs"))
-    names = F.array(*[F.lit(x) for x in langs])
-    high = F.array_max("fused")
-    rows = rows.withColumn("posterior", 1 / F.aggregate("fused", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("fused"))))
-    rows = rows.withColumn("lang", F.when(high.isNull(), UND).otherwise(F.get(names, _index_of_max(F.col("fused")))))
-    rows = rows.withColumn("text_lang", F.coalesce(F.get(names, F.col("best")), F.lit(UND))).withColumn("posterior", F.coalesce("posterior", F.lit(1.0)))
+    seen = keyed.mapInArrow(released(text_evidence(model)), "doc_id long, declared string, host string, suffix string, logs array<double>")
+    seen = cut(seen.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+|[^.]+)$", 1)).withColumn("best", _index_of_max(F.col("logs"))))
+    names, top = F.array(*[F.lit(x) for x in model.langs]), F.array_max("fused")
+    rows = fuse(seen, model.langs, pull, und_prior).withColumns(
+        {
+            "posterior": F.coalesce(1 / F.aggregate("fused", F.lit(0.0), lambda s, x: s + F.exp(x - top)), F.lit(1.0)),
+            "lang": F.coalesce(F.get(names, _index_of_max(F.col("fused"))), F.lit(UND)),
+            "text_lang": F.coalesce(F.get(names, F.col("best")), F.lit(UND)),
+        }
+    )
     return rows.select("doc_id", "lang", "posterior", "text_lang", ((F.col("lang") != UND) & (F.col("posterior") >= least)).alias("accepted"))
 
 
-def smooth_given(counts: DataFrame, by: str, top: list[float], add: float = 0.5, most: int = 2000):
-    """A function that joins P(value of ``by`` | language) and P(value) to rows.
-
-    Only the ``most`` commonest values (tags of languages, suffixes) are evidence, so the joined table is small.
-    """
-    kinds = counts.orderBy(F.desc(F.aggregate("n", F.lit(0.0), lambda s, x: s + x)), by).limit(most)
-    total = float(sum(top))
-    chance = F.zip_with("n", F.array(*[F.lit(float(t)) for t in top]), lambda a, t: (a + add) / (t + add * 10))
-    kinds = kinds.select(F.col(by).alias("__value"), chance.alias(f"p_{by}"), ((F.aggregate("n", F.lit(0.0), lambda s, x: s + x) + add) / (total + add * 10)).alias(f"any_{by}"))
-    return lambda rows, column: rows.join(F.broadcast(kinds), rows[column] == F.col("__value"), "left").drop("__value")
-
-
 def pages_as_documents(pages: DataFrame) -> DataFrame:
     """(doc_id, text, lang, source) of web pages: the text without markup, the declared language, the host."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))

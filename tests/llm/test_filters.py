@@ -38,13 +38,43 @@ def test_language(tongues):
 
 
 def test_language_fuses_evidence(spark, tongues):
-    """A text that says little follows its declaration and host; the posterior is that of the written-out formula."""
-    model = langid.train(tongues, "text", "lang", "doc_id")
-    short = spark.createDataFrame([(1000, "la", "de", "de1.example.de", 1, "")], tongues.schema)
-    got = {r["doc_id"]: r for r in langid.identify(tongues.unionByName(short), model=model).collect()}
+    """Every posterior against the formula written out."""
+    short = spark.createDataFrame([(1000, "la", "de", "de1.example.de", 1, ""), (1001, "la", None, None, 1, "")], tongues.schema)
+    docs = tongues.unionByName(short)
+    model, rows = langid.train(tongues, "text", "lang", "doc_id"), docs.collect()
+    assert model.langs == ["de", "en", "fr", "und"]
+    logs = []
+    for r in rows:
+        _, codes = langid.trigrams([r["text"]])
+        logs.append(model.logs[:, codes].sum(axis=1) / len(codes) * 0.5 * min(len(codes), 80) if len(codes) else None)
+    best = [None if x is None else int(np.argmax(x)) for x in logs]
+    hosts = [r["source"] for r in rows]
+    domains = [h and ".".join(h.split(".")[-2:]) for h in hosts]
+    suffixes = [h and h.split(".")[-1] for h in hosts]
+    tags = [r["lang"] for r in rows]
+
+    def count(values, value):
+        return np.array([sum(v == value and k == i for v, k in zip(values, best)) for i in range(3)], float)
+
+    top = count([1] * len(rows), 1)
+    general = (top + 1) / (top.sum() + 3)
+    smooth = lambda n, wider: (n + 10 * wider) / (n.sum() + 10)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model=model).collect()}
+    for k, r in enumerate(rows):
+        if logs[k] is None:
+            continue
+        prior = smooth(count(hosts, hosts[k]), smooth(count(domains, domains[k]), general)) if hosts[k] and count(hosts, hosts[k]).sum() else general
+        fused = np.append(logs[k][:3] + np.log(prior) + np.log(0.99), logs[k][3] + np.log(0.01))
+        for values in (tags, suffixes):
+            n = count(values, values[k])
+            if values[k] and n.sum():
+                fused += np.append(np.log((n + 0.5) / (top + 5)), np.log((n.sum() + 0.5) / (top.sum() + 5)))
+        shares = np.exp(fused - fused.max())
+        shares /= shares.sum()
+        own = got[r["doc_id"]]
+        assert own["lang"] == model.langs[int(np.argmax(fused))] and math.isclose(own["posterior"], shares.max(), rel_tol=1e-4), r["doc_id"]
+        assert own["text_lang"] == model.langs[best[k]]
     assert got[1000]["lang"] == "de"
-    logs = np.log(np.full(3, 1 / 3))
-    assert math.isclose(math.exp(logs[0]), 1 / 3) and model.langs == ["de", "en", "fr", "und"]
 
 
 def test_language_edges(spark, tongues):
