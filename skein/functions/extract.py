@@ -15,6 +15,7 @@ COMPOSITION_CALLS = frozenset("ref computed watch onMounted reactive".split())
 MACROS = frozenset("defineProps defineEmits defineExpose defineOptions defineSlots defineModel withDefaults".split())
 MAP_HELPERS = {"mapState": "state", "mapGetters": "getter", "mapActions": "action", "mapMutations": "mutation"}
 STORE_PARTS = {"state": "state", "getters": "getter", "mutations": "mutation", "actions": "action"}
+#: Characters of a function's text that are kept, and the patterns of tags and annotations (fixed values).
 CONTENT = 300
 TAG = re.compile(r"<(/?)\s*(template|script|style)\b([^>]*)>", re.I)
 TEMPLATE_TAG = re.compile(r"<\s*([A-Za-z][A-Za-z0-9_.:-]*)\b")

@@ -17,6 +17,7 @@ from skein.sources.facts import of
 BUILTINS = (
     "if switch for while return throw typeof instanceof new import export require console JSON Math Object Array String Number Boolean Promise Map Set Ref ComputedRef parseInt parseFloat isNaN setTimeout setInterval clearTimeout clearInterval alert confirm prompt fetch isFinite encodeURIComponent decodeURIComponent"
 ).split()
+#: How sure a call is inside a file and across files (fixed values).
 SAME_FILE, OTHER_FILE = 0.95, 0.8
 MAP_HELPERS = ["mapState", "mapGetters", "mapMutations", "mapActions"]
 COLUMNS = ["src", "dst", "rel_type", "properties"]
