@@ -25,6 +25,7 @@ from skein.llm.common import cut, released, slices, table
 from skein.llm.tokens import default_path, tokens
 
 END = 50256
+RANGE_BYTES = 256 << 20  # of records that one task writes, at most
 DIGEST = "slot long, shard long, byte_offset long, doc_id long, start long, length long, record_crc32 long"
 
 
@@ -91,7 +92,8 @@ def ordered(docs: DataFrame, path: str, key: str, length: int, per_shard: int, e
 
     placed = found.mapInArrow(released(place), "slot long, doc_id long, start long, n long, ids binary")
     shards = -(-total // per_shard)
-    ranges = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(shards, max(least, total * length * 4 // RANGE_BYTES)))
     target = F.least((F.col("slot") * 1.0 / per_shard).cast("long") * ranges / shards, F.lit(ranges - 1.0)).cast("int")
     return placed.repartitionById(ranges, target).sortWithinPartitions("slot"), total
 
