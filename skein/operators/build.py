@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.text import base_name
+from skein.functions.text import base_name, wildcard_regex
 from skein.operators import edges as E
 from skein.operators.graph import Graph, insert_edges
 from skein.plans.lineage import cut
@@ -26,6 +26,45 @@ def entities_of(files: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.select("path", F.coalesce(F.get_json_object("properties", "$.name"), F.lit("")).alias("name"), "entity_type", "ordinal", F.coalesce("properties", F.lit("{}")).alias("properties"))
 
 
+def with_markers(entities: DataFrame, config: Config) -> DataFrame:
+    """``entities`` with what the markers of their types say added to the properties; of several patterns the last counts."""
+    for entity_type, markers in config.markers.items():
+        found: dict[str, Column] = {}
+        component = F.col("path").endswith(".vue")
+        for marker in markers:
+            if (wanted := marker.get("uses_options_api")) is not None:
+                found["usesOptionsAPI"] = F.when(component, F.lit(bool(wanted)))
+                if wanted:
+                    found["markedAsOptionsAPI"] = F.when(component & (F.get_json_object("properties", "$.apiMode") == "options"), F.lit(True))
+            if pattern := marker.get("naming_pattern"):
+                found["matchesNamingPattern"] = F.col("name").rlike(wildcard_regex(pattern, escape=False))
+        if found:
+            more = F.to_json(F.struct(*[c.alias(k) for k, c in found.items()]))  # nulls are left out
+            inner = F.regexp_replace("properties", r"\}\s*$", "")
+            joined = F.when(more == "{}", F.col("properties")).when(F.trim(inner) == "{", more).otherwise(F.concat(inner, F.lit(", "), F.substring(more, 2, 1_000_000)))
+            entities = entities.withColumn("properties", F.when(F.col("entity_type") == entity_type, joined).otherwise(F.col("properties")))
+    return entities
+
+
+def definitions(spark: SparkSession, config: Config) -> DataFrame:
+    """(part, name, detail, description): the entity types, relations and APIs that a configuration defines."""
+    rows = [("entity", n, ", ".join(p), config.descriptions.get(n, "")) for n, p in config.entities.items()]
+    rows += [("relation", n, f"{r.source} -> {r.target}", r.description) for n, r in config.relationships.items()]
+    rows += [("apis", n, str(len(names)), "") for n, names in config.apis.items()]
+    return spark.createDataFrame(rows, "part string, name string, detail string, description string")
+
+
+def reclassified(facts: DataFrame, kinds: list[DataFrame]) -> DataFrame:
+    """``facts`` whose functions have the kind of the first of ``kinds`` (path, name, line, kind) that knows their file."""
+    for k in reversed(kinds):
+        own = k.select("path", "name", "line", F.col("kind").alias("__kind")).withColumn("fact", F.lit("function"))
+        known = k.select("path").distinct().withColumn("__known", F.lit(True))
+        joined = facts.join(own, ["path", "name", "line", "fact"], "left").join(known, "path", "left")
+        joined = joined.where((F.col("fact") != "function") | F.col("__known").isNull() | F.col("__kind").isNotNull())
+        facts = joined.withColumn("full", F.coalesce("__kind", "full")).select(*facts.columns)
+    return facts
+
+
 def functions_of(facts: DataFrame) -> DataFrame:
     offsets = of(facts, "script").select("path", F.col("line").alias("offset"))
     rows = of(facts, "function").join(offsets, "path")
@@ -48,7 +87,11 @@ def build(spark: SparkSession, config: Config, registry: Registry | None = None,
         config = plugin.contribute(config, compat)
     files = cut(S.classify(listing, config))
     facts = cut(fact_table(files))
-    entities = cut(entities_of(files, facts))
+    for more in registry.each(active, lambda p: p.extract(files)) if registry else []:
+        facts = facts.unionByName(more.select(*facts.columns))
+    if registry and (kinds := registry.each(active, lambda p: p.classify(facts))):
+        facts = cut(reclassified(facts, kinds))
+    entities = cut(with_markers(entities_of(files, facts), config))
     apis = spark.createDataFrame([(n, f) for f, names in config.apis.items() for n in names], "name string, framework string").dropDuplicates(["name"])
     functions, items = cut(functions_of(facts)), cut(items_of(facts))
     package = S.package(spark, os.path.dirname(root))
@@ -57,8 +100,8 @@ def build(spark: SparkSession, config: Config, registry: Registry | None = None,
     found = [E.imports(facts, E.folders(listing), entities, root, S.aliases(os.path.dirname(root)))]
     if (related := E.configured(facts, entities, config)) is not None:
         found.append(related)
-    for plugin in active:
-        found += plugin.after(facts, entities, items)
+    for parts in registry.each(active, lambda p: p.after(facts, entities, items)) if registry else []:
+        found += parts
     between = found[0]
     for part in found[1:]:
         between = between.unionByName(part)

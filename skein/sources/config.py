@@ -22,6 +22,7 @@ PLUGIN_ENTITIES = {
     "electron-main": ["electron/main.ts", "electron/main.js", "electron/index.ts", "electron/index.js", "src/main/**/*.ts", "src/main/**/*.js"],
     "preload": ["electron/preload/**/*.ts", "electron/preload/**/*.js", "electron/preload.ts", "electron/preload.js", "src/preload/**/*.ts", "src/preload/**/*.js"],
 }
+PLUGIN_MARKERS = {"component": [{"uses_options_api": False}, {"naming_pattern": "*.vue"}]}
 PLUGIN_APIS = {
     "vue": "ref reactive computed watch watchEffect onMounted onUnmounted onBeforeMount onBeforeUnmount onUpdated onBeforeUpdate onActivated onDeactivated provide inject defineComponent defineAsyncComponent nextTick shallowRef shallowReactive toRef toRefs isRef unref triggerRef customRef markRaw toRaw readonly shallowReadonly useCssModule useCssVars useSlots useAttrs",
     "vue-router": "createRouter createWebHistory createWebHashHistory createMemoryHistory useRouter useRoute onBeforeRouteUpdate onBeforeRouteLeave",
@@ -108,7 +109,8 @@ def with_plugin(config: Config, compat: bool = True) -> Config:
     apis = {name: list(dict.fromkeys([*config.apis.get(name, []), *PLUGIN_APIS.get(name, "").split()])) for name in {**config.apis, **PLUGIN_APIS}}
     added = {name: Relationship(a, b, literal if compat else meant) for name, (a, b, literal, meant) in PLUGIN_RELATIONS.items()}
     relations = {**config.relationships, **added} if compat else {**added, **config.relationships}
-    return Config(config.name, config.source_root, entities, apis, relations, config.markers, config.descriptions)
+    markers = {name: [*config.markers.get(name, []), *PLUGIN_MARKERS.get(name, [])] for name in entities}
+    return Config(config.name, config.source_root, entities, apis, relations, markers, config.descriptions)
 
 
 def template(kind: str = "modern", name: str = "project", root: str = "src") -> str:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from skein.cli import main
 from skein.operators import detectors
-from skein.operators.build import build
+from skein.operators.build import build, definitions
 from skein.operators.graph import Graph
 from skein.operators.render import markdown, sections
 from skein.operators.tools import Tools
-from skein.plans.plugins import ComponentFiles, Registry, built_in
+from skein.plans.plugins import Base, ComponentFiles, Detection, Registry, built_in
 from skein.sources import config as C
 from skein.sources import files as S
 from skein.sources.facts import facts
@@ -187,6 +187,42 @@ def test_registry():
         found.register(Broken())
 
 
+def test_markers(tools):
+    props = {r["name"]: json.loads(r["properties"]) for r in tools.graph.nodes.where("entity_type = 'component'").collect()}
+    assert props["Basket"]["usesOptionsAPI"] is False and props["PriceTag"]["matchesNamingPattern"] is False and "markedAsOptionsAPI" not in props["PriceTag"]
+    others = tools.graph.nodes.where("entity_type = 'store'").collect()
+    assert all("usesOptionsAPI" not in json.loads(r["properties"]) for r in others)
+
+
+def test_definitions(spark, root):
+    rows = {(r["part"], r["name"]): r["detail"] for r in definitions(spark, C.load(str(root / "skein.yaml"))).collect()}
+    assert rows["relation", "matches_route"] == "route -> component" and rows["entity", "component"] == "**/*.vue" and rows["apis", "vue"] == "4"
+
+
+def test_hooks(spark, root):
+    class Own(Base):
+        name = "own"
+
+        def detect(self, listing, folder):
+            return Detection(True, 1.0, [])
+
+        def extract(self, files):
+            return facts(files).where("fact = 'script'").withColumn("fact", F.lit("store_item")).withColumn("name", F.lit("extra")).withColumn("full", F.lit("state")).where("path like '%basket.ts'")
+
+        def classify(self, table):
+            return table.where("fact = 'function' and path like '%basket.ts' and name = 'addItem'").select("path", "name", "line", F.lit("special").alias("kind"))
+
+        def after(self, table, entities, items):
+            raise RuntimeError("later")
+
+    registry = Registry()
+    registry.register(Own())
+    built = build(spark, C.load(str(root / "skein.yaml")), registry)
+    assert "extra" in {r["name"] for r in built.store_items.collect()}
+    assert {(r["name"], r["kind"]) for r in built.functions.where("file_path like '%basket.ts'").collect()} == {("addItem", "special")}
+    assert built.functions.where("file_path like '%Basket.vue'").count() == 3 and "own" in registry.errors
+
+
 def test_render(spark):
     df = spark.createDataFrame([("a|b", 1.0), (None, 2.0)], "x string, y double")
     assert "a\\|b" in markdown("T", df) and "Only the first 1" in markdown("T", df, 1) and "Nothing" in markdown("T", df.limit(0))
