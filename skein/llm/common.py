@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 
 from skein.plans.lineage import cut, shared_dir
 
-__all__ = ["connected_components", "cut", "released", "shared_dir", "slices", "spanning_links", "table", "without_ids"]
+__all__ = ["connected_components", "cut", "released", "remove", "shared_dir", "slices", "spanning_links", "table", "without_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def give_back() -> None:
     """Return freed memory to the system; Python workers live on between tasks beside the executor's heap."""
     pa.default_memory_pool().release_unused()
