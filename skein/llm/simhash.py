@@ -60,6 +60,17 @@ def block_keys(fp: Column, blocks: int, distance: int) -> Column:
     return F.array(*keys)
 
 
+def blocks_for(n: int, distance: int) -> int:
+    """The fewest blocks whose keys leave about 8 of ``n`` evenly spread fingerprints, or fewer, to a key.
+
+    Any number above ``distance`` finds every pair; more blocks mean longer keys, and more of them.
+    """
+    blocks = distance + 2
+    while blocks < 2 * distance and 2 ** (64 * (blocks - distance) / blocks) * 8 < n:
+        blocks += 1
+    return blocks
+
+
 def _compare(distance: int):
     def links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = [], []
@@ -101,11 +112,12 @@ def _compare(distance: int):
     return scan
 
 
-def hamming_links(fps: DataFrame, distance: int = 4, blocks: int = 6, tile: int = 2048) -> DataFrame:
+def hamming_links(fps: DataFrame, distance: int = 4, blocks: int | None = None, tile: int = 2048) -> DataFrame:
     """Links (src, dst) between the distinct values ``fp`` of ``fps`` that span every group at ``distance`` bits or fewer.
 
     A key with n > ``tile`` fingerprints is split into ceil(n / tile) parts by hash; each pair of parts is a tile.
     """
+    blocks = blocks or blocks_for(fps.count(), distance)
     keys = fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key")).select("fp", "key.part", "key.bits")
     shared = keys.groupBy("part", "bits").count().where("count > 1")
     rows = keys.join(shared, ["part", "bits"]).withColumn("parts", F.ceil(F.col("count") / tile).cast("int"))
@@ -115,7 +127,7 @@ def hamming_links(fps: DataFrame, distance: int = 4, blocks: int = 6, tile: int
     return rows.mapInPandas(released(_compare(distance)), "src long, dst long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, words: int = 4, blocks: int = 6) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, words: int = 4, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id): the near-duplicate group of every row.
 
     Equal fingerprints are one node, whatever the number of copies; component_id is the smallest doc_id reachable over

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pytest
 import xxhash
 
 from skein.llm import simhash as S
@@ -53,6 +54,16 @@ def test_every_pair_within_the_distance_shares_a_key(spark):
         assert df.where(shared).count() == len(rows)
 
 
+def test_number_of_blocks():
+    assert [S.blocks_for(n, 4) for n in (0, 10**7, 10**8, 10**10, 10**12)] == [6, 6, 7, 8, 8] and S.blocks_for(10, 0) == 2
+
+
+@pytest.mark.parametrize("blocks", [5, 7, 8])
+def test_any_number_of_blocks_finds_the_same_groups(docs, texts, blocks):
+    _, want = expected(texts)
+    assert {r["doc_id"]: r["component_id"] for r in S.simhash_groups(docs, blocks=blocks).collect()} == dict(enumerate(want))
+
+
 def test_large_groups_go_through_tiles(spark):
     """A key that many fingerprints share is split, and no link is lost."""
     import random
