@@ -35,6 +35,7 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
     """Index pairs with cosine >= threshold (i < j if ``same``), and how many pairs were recomputed."""
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None]) for v in (x, y))  # exact; squares stay in range
     nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
     ux, uy = x / nx[:, None], y / ny[:, None]
     (qx, sx, ex), (qy, sy, ey) = quantise(ux), quantise(uy)

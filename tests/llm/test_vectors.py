@@ -46,6 +46,12 @@ def test_quantisation_bound():
         assert np.abs(q).max() <= 127 and (off <= e[:, None] + e[None] + e[:, None] * e[None] + 1e-12).all()
 
 
+def test_tiny_and_huge_vectors():
+    x = np.array([[1e-300, 2e-300], [3e300, 6e300], [1.0, -1.0]])
+    i, j, _ = embed_dedup.tile_links(x, x, 0.9, True)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 1)]
+
+
 def test_few_pairs_are_recomputed():
     draw = np.random.default_rng(3)
     x = draw.normal(size=(600, 64))
