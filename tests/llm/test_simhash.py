@@ -145,3 +145,20 @@ def test_large_similar_group(spark):
         rows.append((k, " ".join(own)))
     got = {r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=16).collect()}
     assert got == {0}
+
+
+def test_every_pair_of_the_threshold_is_found(spark):
+    """Isolated pairs of similarity 0.80 to 0.88 and of less."""
+    import random
+
+    draw, rows, pairs = random.Random(21), [], []
+    for k in range(400):
+        words = [f"{draw.randrange(10**6)}" for _ in range(draw.randint(40, 300))]
+        copy = list(words)
+        for at in draw.sample(range(len(copy)), max(1, round(len(copy) * draw.choice([0.014, 0.018, 0.022, 0.03])))):
+            copy[at] = "x"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    group = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [group[2 * k + 1] == 2 * k for k in range(400)] == [j >= 0.8 for j in pairs]
+    assert sum(0.8 <= j < 0.83 for j in pairs) > 20 and sum(0.8 <= j < 0.88 for j in pairs) > 100 and sum(0.7 < j < 0.8 for j in pairs) > 40
