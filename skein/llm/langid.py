@@ -46,8 +46,11 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return rows[:-2][whole], (code >> np.uint32(16)).astype(np.int64)[whole]
 
 
-def fit(rows: DataFrame, smoothing: float = 0.1) -> TextModel:
-    """A model of each ``lang`` of ``rows`` (text, lang); what reaches the driver is bounded by languages x buckets."""
+def fit(rows: DataFrame, smoothing: float = 0.1, enough: int = 10_000) -> TextModel:
+    """A model of each ``lang`` of ``rows`` (text, lang); what reaches the driver is bounded by languages x buckets.
+
+    A language of fewer trigrams than ``enough`` is smoothed by less, else the smoothing would hide its few texts.
+    """
 
     def count(batches):
         for batch in slices(batches, text=0):
@@ -60,12 +63,16 @@ def fit(rows: DataFrame, smoothing: float = 0.1) -> TextModel:
 
     seen = rows.select("text", "lang").mapInArrow(released(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(seen["lang"].unique())
-    counts = np.zeros((len(langs) + 1, BUCKETS))
-    counts[seen["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int), seen["bucket"].to_numpy(int)] = seen["n"]
-    known = max(1, int((counts.sum(axis=0) > 0).sum()))
-    logs = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS))
-    logs[-1] = -np.log(known)
-    return TextModel([*langs, UND], logs.astype(np.float32))
+    if not langs:
+        return TextModel([UND], np.zeros((1, BUCKETS), np.float32))
+    logs = np.empty((len(langs) + 1, BUCKETS), np.float32)
+    for k, lang in enumerate(langs):
+        own, counts = seen[seen["lang"] == lang], np.zeros(BUCKETS)
+        counts[own["bucket"].to_numpy(int)] = own["n"]
+        add = smoothing * min(1.0, counts.sum() / enough) ** 2 or smoothing
+        logs[k] = np.log((counts + add) / (counts.sum() + add * BUCKETS))
+    logs[-1] = -np.log(max(1, seen["bucket"].nunique()))
+    return TextModel([*langs, UND], logs)
 
 
 def primary(tag: Column) -> Column:
@@ -74,17 +81,14 @@ def primary(tag: Column) -> Column:
     return F.when(found != "", found)
 
 
-def train(docs: DataFrame, text_col: str, declared_col: str, id_col: str, per_lang: int = 1000, max_langs: int = 64, least: int = 5) -> TextModel:
-    """A model from a sample by hash of about ``per_lang`` documents of each of the ``max_langs`` most declared languages.
-
-    Languages that fewer than ``least`` documents declare get no model.
-    """
+def train(docs: DataFrame, text_col: str, declared_col: str, id_col: str, per_lang: int = 1000) -> TextModel:
+    """A model from a sample by hash of about ``per_lang`` documents of each declared language, however few declare it."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), primary(F.col(declared_col)).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).where("text <> '' and lang is not null")
-    sizes = rows.groupBy("lang").count().where(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").count().where(F.col("count") > per_lang).collect()
     if not sizes:
-        return TextModel([UND], np.zeros((1, BUCKETS), np.float32))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["count"]))])[F.col("lang")]
-    return fit(rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share))
+        return fit(rows)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], per_lang / r["count"])])[F.col("lang")]
+    return fit(rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.coalesce(share, F.lit(1.0))))
 
 
 def text_evidence(model: TextModel, temper: float = 0.5, enough: int = 80):
@@ -166,7 +170,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     ``pull``: how many documents the wider level counts as in a prior. A row is accepted if its language isn't "und" and
     the posterior reaches ``least``. Null, empty and letterless texts are "und" with posterior 1; null or unknown
     declarations and hosts bring no evidence; ties go to the first language by name; repeated rows come back repeated;
-    an empty table gives no rows. Whole texts count. Rows join the priors of their hosts by a shuffle, which Spark splits
+    an empty table gives no rows. Where no text declares a language there is no model to speak against any text, so all
+    with letters are accepted. Whole texts count. Rows join the priors of their hosts by a shuffle, which Spark splits
     at a host with many rows.
     """
     none = F.lit(None).cast("string")
@@ -184,7 +189,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
             "text_lang": F.coalesce(F.get(names, F.col("best")), F.lit(UND)),
         }
     )
-    return rows.select("doc_id", "lang", "posterior", "text_lang", ((F.col("lang") != UND) & (F.col("posterior") >= least)).alias("accepted"))
+    accepted = (F.col("lang") != UND) & (F.col("posterior") >= least) if len(model.langs) > 1 else F.col("logs").isNotNull()
+    return rows.select("doc_id", "lang", "posterior", "text_lang", accepted.alias("accepted"))
 
 
 def pages_as_documents(pages: DataFrame) -> DataFrame:

@@ -85,6 +85,23 @@ def test_language_edges(spark, tongues):
     assert [r["lang"] for r in langid.identify(alone).collect()] == ["und", "und"]
 
 
+def test_language_of_few_documents_or_among_many(spark):
+    """Every declared language has a model: the 70th of 70, one of a single document, and none where none is declared."""
+    draw, rows = random.Random(3), []
+    for k in range(70):
+        words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 8))) for _ in range(40)]
+        tag = chr(97 + k // 26) + chr(97 + k % 26)
+        rows += [(len(rows) + j, " ".join(draw.choice(words) for _ in range(80)), tag, "src0") for j in range(1 if k < 5 else 4 if k < 10 else 6)]
+    schema = "doc_id long, text string, lang string, source string"
+    got = langid.identify(spark.createDataFrame(rows, schema)).collect()
+    said = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) and all(r["accepted"] and r["lang"] == said[r["doc_id"]] for r in got)
+    few = spark.createDataFrame([rows[0], rows[30]], schema)
+    assert langid.drop_unidentified(few).count() == 2
+    none = spark.createDataFrame([(1, "some words", None, "src0"), (2, "12 34", None, "src0")], schema)
+    assert [r["doc_id"] for r in langid.drop_unidentified(none).collect()] == [1]
+
+
 def test_pages_as_documents(spark):
     html = "<html lang='de-AT'><script>var a = '<p>';</script><p>Der Hund</p></html>"
     rows = spark.createDataFrame([(1, "http://WWW.a.de:80/x", html), (2, None, None)], "page_id long, url string, html string")
