@@ -16,14 +16,22 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back: lineage ends there and survives lost executors.
+
+    A checkpoint keeps the size that the plan before it was guessed at. In loops with joins these guesses multiply, round by
+    round, to numbers of millions of digits, so the result forgets them.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    plan = df.checkpoint(eager=True)._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), plan.schema(), False), spark)
 
 
 def small_side(df: DataFrame) -> DataFrame:
