@@ -3,6 +3,9 @@
 A fingerprint is cut into ``blocks`` parts. Two fingerprints that differ in at most ``distance`` bits agree in at
 least ``blocks - distance`` parts, so they share one of the keys made of so many parts. Fingerprints that share a key
 are compared in tiles of bounded size; a tile returns links that span its groups, never all its pairs.
+
+64 bits tell texts of similarity 0.8 and 0.6 hardly apart, so for a bound on the similarity ``similar_groups`` does the
+same with the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -12,31 +15,21 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import connected_components, cut, released, slices, spanning_links, without_ids
+from skein.llm.shingles import shingle_hashes, similar_groups
+
+__all__ = ["fingerprint", "fingerprints", "hamming_links", "keep_one", "op5_simhash", "similar_groups", "simhash_groups"]
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
     """The 64-bit SimHash of a text, unsigned; null and wordless texts have 0."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    stops = np.cumsum(size + 1) - 1
-    starts = stops - size
-    whole = b" ".join(parts)
-    digest = xxhash.xxh64_intdigest
-    if len(parts) <= words:
-        return digest(whole, 42)
-    n, counts = len(parts) - words + 1, np.zeros(64, np.int64)
-    begin, end = starts[:n].tolist(), stops[words - 1 :].tolist()
-    for at in range(0, n, 65536):
-        hashes = np.array([digest(whole[s:e], 42) for s, e in zip(begin[at : at + 65536], end[at : at + 65536])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    hashes, counts = shingle_hashes(text, words), np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -144,170 +137,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def long_fingerprints(texts: list[str | None], words: int, bits: int) -> np.ndarray:
-    """(texts, bits) booleans: SimHash with ``bits`` bits, each of them 1 if set in over half the shingles' hashes.
-
-    The hashes of a shingle are its 64-bit hash mixed with one constant a 64 bits. Wordless texts have no bit set.
-    """
-    mixers = np.array([xxhash.xxh64_intdigest(str(k), 7) | 1 for k in range(bits // 64)], np.uint64)
-    out = np.zeros((len(texts), bits), bool)
-    for row, text in enumerate(texts):
-        parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not parts:
-            continue
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        stops = np.cumsum(size + 1) - 1
-        n = max(1, len(parts) - words + 1)
-        begin, end, whole = (stops - size)[:n].tolist(), stops[min(words, len(parts)) - 1 :].tolist(), b" ".join(parts)
-        counts = np.zeros(bits, np.int64)
-        for at in range(0, n, 4096):
-            hashes = np.array([xxhash.xxh64_intdigest(whole[s:e], 42) for s, e in zip(begin[at : at + 4096], end[at : at + 4096])], np.uint64)
-            mixed = hashes[:, None] * mixers
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            counts += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        out[row] = 2 * counts > n
-    return out
-
-
-def distance_for(similarity: float, bits: int) -> int:
-    """How many bits two texts of that Jaccard similarity of shingles are expected to differ in."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, a wordless one has none."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    stops = np.cumsum(size + 1) - 1
-    n = max(1, len(parts) - words + 1)
-    begin, end, whole = (stops - size)[:n].tolist(), stops[min(words, len(parts)) - 1 :].tolist(), b" ".join(parts)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(whole[s:e], 42) for s, e in zip(begin, end)), np.uint64, n))
-
-
-def prefix(own: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The shingles of which any other set of that Jaccard similarity has one among its own, too.
-
-    All sets are put in one order, the shingles of ``common`` last and of these the commonest last. Similar sets share at
-    least ``similarity`` of either's shingles, so they share one among the first of each.
-    """
-    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
-    if not len(common):
-        return own[:n]
-    order = np.argsort(common)
-    at = np.minimum(np.searchsorted(common, own, sorter=order), len(common) - 1)
-    rank = np.where(common[order[at]] == own, order[at] + 1, 0)
-    return own[np.argsort(rank, kind="stable")[:n]]
-
-
-def common_shingles(source: DataFrame, words: int, sample: int = 20_000, most: int = 100_000) -> np.ndarray:
-    """The shingles that three documents of a sample or more have, at most ``most``, the commonest last.
-
-    They only set the order of shingles, so the sample bears on the cost, never on what is found.
-    """
-
-    def run(batches):
-        for batch in slices(batches, text=0):
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["shingle"])
-
-    one_of = max(1, source.count() // sample)
-    drawn = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0).select("text").mapInArrow(released(run), "shingle long")
-    found = drawn.groupBy("shingle").count().where("count >= 3").orderBy(F.desc("count"), "shingle").limit(most).toPandas()
-    return found["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
-
-
-def _compare_sets(similarity: float, bits: int = 512):
-    """mapInArrow body: rows (tile, node, set), sorted by tile, to links that span the groups of similar sets of each tile."""
-    apart = (1 - similarity) / (1 + similarity)
-
-    def links(tile: np.ndarray, node: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        # where two sets' parities differ, at least one shingle is in one of them only
-        odd = np.stack([np.packbits(np.bincount((x % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1) for x in sets]).view("<u8")
-        cuts = np.flatnonzero(tile[1:] != tile[:-1]) + 1
-        stops = np.repeat(np.r_[cuts, len(tile)], np.diff(np.r_[0, cuts, len(tile)]))
-        left, shift, joined = np.arange(len(tile)), 1, np.arange(len(tile))
-        found = [np.zeros(0, np.int64)] * 2
-        while len(left := left[left + shift < stops[left]]):
-            fresh = left[joined[left] != joined[left + shift]]  # linked pairs need no comparison
-            near = []
-            for k in range(0, len(fresh), 65536):
-                a = fresh[k : k + 65536]
-                most = apart * (size[a] + size[a + shift]) + 1e-9
-                a = a[(np.abs(size[a] - size[a + shift]) <= most) & (np.bitwise_count(odd[a] ^ odd[a + shift]).sum(axis=1, dtype=np.int64) <= most)]
-                for i in a.tolist():
-                    both = len(np.intersect1d(sets[i], sets[i + shift], assume_unique=True))
-                    if both >= similarity * (size[i] + size[i + shift] - both) - 1e-9:
-                        near.append(i)
-            if near:
-                near = np.array(near)
-                found = [np.r_[found[0], near], np.r_[found[1], near + shift]]
-                moved, to = spanning_links(len(tile), *found)
-                joined[moved] = to
-            shift += 1
-        x, y = spanning_links(len(tile), *found)
-        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["src", "dst"])
-
-    def run(batches):
-        tile, node, sets = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        for batch in slices(batches, rows=4096, chars=8_000_000, text=2):
-            tile, node = np.r_[tile, batch.column(0).to_numpy()], np.r_[node, batch.column(1).to_numpy()]
-            sets += [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
-            if len(tile) and tile[0] != tile[-1]:
-                end = len(tile) - int(np.argmax(tile[::-1] != tile[-1]))
-                yield links(tile[:end], node[:end], sets[:end])
-                tile, node, sets = tile[end:], node[end:], sets[end:]
-        if len(tile):
-            yield links(tile, node, sets)
-
-    return run
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
-    """(doc_id, component_id): groups of texts that are linked by pairs of Jaccard similarity ``similarity`` or more.
-
-    64 bits tell texts of similarity 0.8 and 0.6 hardly apart. So here texts are compared by their sets of shingles of
-    ``words`` words, hashed to 64 bits: wherever two share one of the shingles that ``prefix`` gives, which all similar
-    pairs do, they are in a tile, and the tile links those whose sets are similar. No pair is missed. Of shingles that the
-    same texts have, one counts. Equal sets are one node. Nulls, empty and repeated rows and empty tables are as in
-    ``simhash_groups``.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    common = source.sparkSession.sparkContext.broadcast(common_shingles(source, words))
-
-    def read(batches):
-        for batch in slices(batches, text=1):
-            sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
-            named = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-            keys = pa.array([prefix(x, similarity, common.value).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named), keys], ["doc_id", "node", "keys"])
-
-    def whole(batches):
-        for batch in slices(batches, text=0):
-            sets = [shingle_set(x, words).tobytes() for x in batch.column(0).to_pylist()]
-            named = np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(sets, pa.binary())], ["node", "set"])
-
-    found = cut(source.mapInArrow(released(read), "doc_id long, node long, keys array<long>"))
-    nodes = cut(found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    same = keyed.groupBy("key").agg(F.count("*").alias("count"), F.bit_xor("node").alias("a"), F.bit_xor(F.xxhash64("node")).alias("b")).where("count > 1")
-    shared = same.groupBy("count", "a", "b").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    rows = keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = cut(rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node"))
-    wanted = rows.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id")).distinct()
-    sets = source.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(released(whole), "node long, set binary").groupBy("node").agg(F.any_value("set").alias("set"))
-    links = rows.join(sets, "node").select("tile", "node", "set").repartition("tile").sortWithinPartitions("tile").mapInArrow(released(_compare_sets(similarity)), "src long, dst long")
-    groups = connected_components(links)
-    named = cut(nodes.join(groups.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("component", "node").alias("group")))
-    lowest = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    return found.select("doc_id", "node").join(named.join(lowest, "group").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
-
-
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose group (doc_id, component_id) has a smaller doc_id; rows of null doc_id stay.
 

@@ -91,74 +91,7 @@ def test_keep_one(docs, texts):
 
 
 def test_edges(spark, no_docs, docs):
-    assert S.simhash_groups(no_docs).count() == 0 and S.similar_groups(no_docs).count() == 0 and S.keep_one(no_docs, S.similar_groups(no_docs)).count() == 0
+    assert S.simhash_groups(no_docs).count() == 0 and S.keep_one(no_docs, S.simhash_groups(no_docs)).count() == 0
     twice = docs.unionByName(docs)
     assert Counter(r["doc_id"] for r in S.simhash_groups(twice).collect()) == Counter({k: 2 for k in range(docs.count())})
     assert S.simhash_groups(spark.createDataFrame([(None, "x"), (None, None)], "doc_id long, text string")).count() == 2
-    assert S.similar_groups(spark.createDataFrame([(None, "x"), (None, None), (3, "")], "doc_id long, text string")).count() == 3
-
-
-def jaccard(a, b):
-    cut = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))}
-    x, y = cut(a), cut(b)
-    return len(x & y) / len(x | y)
-
-
-def test_similar_texts_are_found_and_others_left_alone(spark):
-    """Copies with some words changed, down to similarities well below the threshold."""
-    import random
-
-    draw = random.Random(12)
-    vocabulary = ["".join(draw.choice("aeioubcdfgklmnprst") for _ in range(draw.randint(2, 9))) for _ in range(3000)]
-    rows, pairs = [], []
-    for k in range(250):
-        words = [draw.choice(vocabulary) for _ in range(draw.randint(60, 400))]
-        copy = list(words)
-        for _ in range(round(len(words) * draw.choice([0, 0.005, 0.01, 0.015, 0.02, 0.08, 0.15]))):
-            copy[draw.randrange(len(copy))] = draw.choice(vocabulary)
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
-        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
-    group = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    linked = [group[2 * k + 1] == 2 * k for k in range(250)]
-    assert all(group[2 * k] == 2 * k for k in range(250))
-    near = [hit for hit, j in zip(linked, pairs) if j >= 0.88]
-    assert len(near) > 60 and sum(near) >= 0.95 * len(near)
-    assert not any(hit for hit, j in zip(linked, pairs) if j < 0.7) and sum(j < 0.7 for j in pairs) > 40
-
-
-def test_long_fingerprints(texts):
-    fps = S.long_fingerprints(texts, 5, 128)
-    assert fps.shape == (len(texts), 128) and not fps[60:63].any() and (S.long_fingerprints(["a B", "A b"], 5, 64)[0] == S.long_fingerprints(["a b"], 5, 64)[0]).all()
-    assert S.distance_for(1.0, 512) == 0 and S.distance_for(0.8, 512) == 78
-
-
-def test_large_similar_group(spark):
-    """Many near copies of one text are one group, through tiles."""
-    import random
-
-    draw = random.Random(5)
-    base = [f"w{draw.randint(0, 10**6)}" for _ in range(300)]
-    rows = []
-    for k in range(150):
-        own = list(base)
-        own[draw.randrange(300)] = f"x{k}"
-        rows.append((k, " ".join(own)))
-    got = {r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=16).collect()}
-    assert got == {0}
-
-
-def test_every_pair_of_the_threshold_is_found(spark):
-    """Isolated pairs of similarity 0.80 to 0.88 and of less."""
-    import random
-
-    draw, rows, pairs = random.Random(21), [], []
-    for k in range(400):
-        words = [f"{draw.randrange(10**6)}" for _ in range(draw.randint(40, 300))]
-        copy = list(words)
-        for at in draw.sample(range(len(copy)), max(1, round(len(copy) * draw.choice([0.014, 0.018, 0.022, 0.03])))):
-            copy[at] = "x"
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
-        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
-    group = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [group[2 * k + 1] == 2 * k for k in range(400)] == [j >= 0.8 for j in pairs]
-    assert sum(0.8 <= j < 0.83 for j in pairs) > 20 and sum(0.8 <= j < 0.88 for j in pairs) > 100 and sum(0.7 < j < 0.8 for j in pairs) > 40
