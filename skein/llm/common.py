@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.lineage import cut, shared_dir
 
-__all__ = ["connected_components", "cut", "released", "remove", "shared_dir", "slices", "spanning_links", "table", "without_ids"]
+__all__ = ["connected_components", "cut", "released", "remove", "shared_dir", "slices", "spanning_links", "table", "unused", "without_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,9 +120,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 BROADCAST_IDS = 200_000
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, however it spells its own."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id isn't in ``gone`` (one long column); rows of null id stay."""
-    gone = cut(gone.toDF("__gone").distinct())
+    name = unused(docs, "gone")
+    gone = cut(gone.toDF(name).distinct())
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from skein.llm.common import BROADCAST_IDS, connected_components, cut, released, slices, spanning_links, table
+from skein.llm.common import BROADCAST_IDS, connected_components, cut, released, slices, spanning_links, table, unused
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -238,7 +238,11 @@ def _shared(keys: np.ndarray, owners: np.ndarray, passed) -> Iterator[pa.RecordB
 
 
 def near_lines(docs: DataFrame, edits: int = 2, least: int = 20, tile: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (src, dst) between nodes of different lines that span every group at ``edits`` edits or fewer."""
+    """Links (src, dst) between nodes of different lines that span every group at ``edits`` edits or fewer.
+
+    Null and empty texts have no lines; repeated rows and lines count once; an empty table gives no rows; columns other than
+    the two named are ignored; lines are compared whole, however long.
+    """
     texts = _texts(docs, id_col, text_col)
     members = cut(near_keys(texts, edits, least))
     wanted = cut(members.select("node").distinct())
@@ -302,7 +306,8 @@ def _verify(edits: int):
 
 
 def repeated_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, a): the lines to remove, all but the first of each group of equal and near lines."""
+    """(doc_id, line_no, a): the lines to remove, all but the first of each group of equal and near lines; rows without an id take no part."""
+    docs = docs.where(F.col(id_col).isNotNull())
     every = cut(occurrences(docs, least, id_col, text_col))
     groups = connected_components(near_lines(docs, edits, least, id_col=id_col, text_col=text_col))
     lines = every.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -319,13 +324,14 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str =
 
     ``count_col`` names a column that is set to the length of the text.
 
-    A line counts without outer white space. Lines of fewer than ``least`` characters always stay, and so do the texts of
-    rows without an id. Null texts stay null; a text all of whose lines go becomes empty. Rows that repeat an id are taken
+    A line counts without outer white space. Lines of fewer than ``least`` characters always stay. The texts of rows without
+    an id stay and make no other line a repeated one. Null texts stay null; a text all of whose lines go becomes empty. Rows that repeat an id are taken
     for one document: their equal lines at equal places stay or go together. Links are transitive. An empty table gives
     no rows.
     """
-    gone = repeated_lines(docs, edits, least, id_col, text_col).where("doc_id is not null")
-    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("line_no", "a")).alias("__gone"))
+    gone = repeated_lines(docs, edits, least, id_col, text_col)
+    of, numbers = unused(docs, "gone_of"), unused(docs, "gone_lines")
+    gone = gone.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("line_no", "a")).alias(numbers))
 
     at, schema = docs.columns.index(text_col), StructType([StructField(f.name, StringType()) if f.name == text_col else f for f in docs.schema.fields])
 
@@ -337,7 +343,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str =
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    joined = rows.join(gone, rows[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    joined = rows.join(gone, rows[id_col].cast("long") == F.col(of), "left").drop(of)
     out = joined.mapInArrow(released(run), schema)
     if count_col and count_col in docs.columns:
         out = out.withColumn(count_col, F.coalesce(F.length(text_col), F.col(count_col)).cast(docs.schema[count_col].dataType))
@@ -350,8 +356,15 @@ def _without(text: str, numbers: list[dict]) -> str:
     return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in at or (k, node_of(x.strip())[0]) not in drop)
 
 
+def line_digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_kept, text_sha256) for every row: its lines before and after, and what the text then is.
+
+    Null and empty texts, before or after, have no lines; the digest of a null text is null.
+    """
+    lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n")))
+    found = dedup_lines(docs.select("doc_id", "text", lines.alias("n_lines")))
+    return found.select("doc_id", "n_lines", lines.alias("n_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = dedup_lines(docs.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")))
-    kept = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
-    return found.select("doc_id", "n_lines", kept.alias("n_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return line_digest(table(spark, sf_dir, "documents"))

@@ -27,9 +27,9 @@ def texts():
 
 @pytest.fixture(scope="session")
 def docs(spark, texts):
-    rows = [(k, t, ["en", "de", None][k % 3], f"src{k % 4}", None if t is None else len(t), k, "x") for k, t in enumerate(texts)]
+    rows = [(k, t, ["en", "de", None][k % 3], f"src{k % 4}", None if t is None else len(t), k, "x", k, "y", 0.5) for k, t in enumerate(texts)]
     # columns whose names the operators use themselves
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id long, node string")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id long, node string, gone long, gone_lines string, score double")
 
 
 @pytest.fixture(scope="session")
