@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from skein.llm.common import cut, released, slices, table
+from skein.llm.common import cut, released, slices, table, unused
 
 ORDERS = (4, 5, 6)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -158,11 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     A document with several labels counts as toxic if one says so; null labels and ids are left out.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("label")).where("__id is not null and label in (0, 1)")
-    known = known.groupBy("__id").agg(F.max("label").alias("label")).where(~held_out(F.col("__id")))
-    known = cut(known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    return fit(texts.join(F.broadcast(known), "__id").select("text", "label"))  # max_rows rows of two numbers
+    known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col(label_col).cast("int").alias("label")).where("labelled is not null and label in (0, 1)")
+    known = known.groupBy("labelled").agg(F.max("label").alias("label")).where(~held_out(F.col("labelled")))
+    known = cut(known.orderBy(F.xxhash64("labelled"), "labelled").limit(max_rows))
+    texts = docs.select(F.col(id_col).cast("long").alias("labelled"), F.col(text_col).cast("string").alias("text"))
+    return fit(texts.join(F.broadcast(known), "labelled").select("text", "label"))  # max_rows rows of two numbers
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,9 +175,13 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that score ``threshold`` or more."""
-    model = train(docs, labels)
-    return with_score(docs, model, name="__score").where(F.col("__score") < threshold).drop("__score")
+    """``docs`` without the documents that score ``threshold`` or more.
+
+    Null and empty texts score the model's bias, texts count whole, repeated rows stay or go together. Without rows of both
+    labels to learn from, all stay, unless all labels are toxic. An empty table gives no rows. Extra columns pass through.
+    """
+    model, name = train(docs, labels), unused(docs, "score")
+    return with_score(docs, model, name=name).where(F.col(name) < threshold).drop(name)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
