@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import cut, released, slices, table, without_ids
+from skein.plans.lineage import small_side
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -135,12 +136,9 @@ def host_priors(said: DataFrame, per_lang: Column, general: Column, pull: float)
     return hosts.select("host", _smoothed(F.col("n"), F.coalesce("wider", general), pull).alias("prior"))
 
 
-def evidence(said: DataFrame, per_lang: Column, by: str, top: list[float], add: float = 0.5, most: int = 2000) -> DataFrame:
-    """(value, given_, any_): P(value of ``by`` | language) and P(value), by smoothed counts.
-
-    Only the ``most`` commonest values (language tags, suffixes) are evidence, so the result may be broadcast.
-    """
-    counts = said.where(F.col(by) != "").groupBy(by).agg(per_lang.alias("n")).orderBy(F.desc(_sum("n")), by).limit(most)
+def evidence(said: DataFrame, per_lang: Column, by: str, top: list[float], add: float = 0.5) -> DataFrame:
+    """(value, given_, any_): P(value of ``by`` | language) and P(value), by smoothed counts of every value there is."""
+    counts = said.where(F.col(by) != "").groupBy(by).agg(per_lang.alias("n"))
     given = F.zip_with("n", _constants(top), lambda a, t: (a + add) / (t + 10 * add))
     return counts.select(F.col(by), given.alias(f"given_{by}"), ((_sum("n") + add) / (sum(top) + 10 * add)).alias(f"any_{by}"))
 
@@ -156,7 +154,7 @@ def fuse(seen: DataFrame, langs: list[str], pull: float, und_prior: float) -> Da
     general, ones = _constants([(x + 1) / (sum(top) + known) for x in top]), _constants([1.0] * known)
     rows = seen.join(host_priors(said, per_lang, general, pull), "host", "left")
     for by in ("declared", "suffix"):
-        rows = rows.join(F.broadcast(evidence(said, per_lang, by, top)), by, "left")
+        rows = rows.join(small_side(cut(evidence(said, per_lang, by, top))), by, "left")
     part = lambda name, default, i: F.log(F.get(F.coalesce(name, default), i))
     each = F.transform(F.sequence(F.lit(0), F.lit(known - 1)), lambda i: F.get("logs", i) + float(np.log(1 - und_prior)) + part("prior", general, i) + part("given_declared", ones, i) + part("given_suffix", ones, i))
     # und is as likely as any text to come with a declaration or a suffix
@@ -201,7 +199,11 @@ def pages_as_documents(pages: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language isn't accepted."""
+    """``docs`` without the documents whose language isn't accepted.
+
+    Null, empty and letterless texts go, rows of null id stay, repeated rows stay or go together. Texts count whole. An
+    empty table gives no rows. Extra columns pass through.
+    """
     return without_ids(docs, identify(docs).where("not accepted").select("doc_id"))
 
 
