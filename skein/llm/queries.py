@@ -76,7 +76,7 @@ ORACLES = {
         ), seeds AS (SELECT host, kind, weight / sum(weight) OVER (PARTITION BY kind) AS start FROM w WHERE kind IS NOT NULL),
         l AS (
             SELECT host AS src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
-                SELECT host, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?:(?:href|src)\s*=\s*["'']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//|&copy;\s*)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1))) AS named, lower(named) AS dst FROM j WHERE host <> '')
+                SELECT host, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i:href|src)\s*=\s*["'']?\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''<>\s]+)', 1))) AS named, translate(named, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM j WHERE host <> '')
             WHERE host <> dst GROUP BY 1, 2
         ), e AS (
             SELECT src, dst, kind, weight / sum(weight) OVER (PARTITION BY src, kind) AS share
@@ -86,15 +86,15 @@ ORACLES = {
             SELECT 0, host, kind, start FROM seeds
             UNION ALL
             SELECT k + 1, host, kind, sum(part) FROM (
-                SELECT it.k, e.dst AS host, it.kind, 0.85 * mass * share AS part, it.host AS of FROM it JOIN e ON e.src = it.host AND e.kind = it.kind WHERE it.k < 12
+                SELECT it.k, e.dst AS host, it.kind, 0.85 * mass * share AS part, it.host AS of FROM it JOIN e ON e.src = it.host AND e.kind = it.kind WHERE it.k < 100
                 UNION ALL
                 SELECT it.k, s.host, it.kind, mass * (CASE WHEN o.src IS NULL THEN 1 ELSE 0.15 END) * s.start, it.host
-                FROM it JOIN seeds s ON s.kind = it.kind LEFT JOIN has_out o ON o.src = it.host AND o.kind = it.kind WHERE it.k < 12)
+                FROM it JOIN seeds s ON s.kind = it.kind LEFT JOIN has_out o ON o.src = it.host AND o.kind = it.kind WHERE it.k < 100)
             GROUP BY k, host, kind
         ), m AS (
-            SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust FROM it WHERE k = 12 GROUP BY host
+            SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust FROM it WHERE k = 100 GROUP BY host
         )
-        SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN round(coalesce(distrust, 0), 12) > round(coalesce(trust, 0), 12) THEN 'block' ELSE 'allow' END) AS verdict
+        SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * (1 + 1e-9) THEN 'block' ELSE 'allow' END) AS verdict
         FROM j LEFT JOIN m USING (host)
     """,
 }

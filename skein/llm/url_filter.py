@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import cut
 
+EQUAL = 1e-9  # masses that differ by less, in proportion, are equal
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AUTHORITY = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Where a page names another host: an address in a link, or the owner in its copyright line.
-REFERENCE = r"(?:(?:href|src)\s*=\s*[\"']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//|&copy;\s*)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+#: Where a page names another host: the address of a link, up to what ends the host or the attribute.
+REFERENCE = r"""(?i:href|src)\s*=\s*["']?\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'<>\s]+)"""
 
 
 class Rule(NamedTuple):
@@ -62,11 +63,13 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
     """(host, kind, mass): personalised PageRank of each ``kind`` from ``seeds`` (host, kind, weight) over ``edges`` (src, dst, kind, weight).
 
     The weights of a kind's seeds are scaled to sum to one. Mass on hosts without links of that kind returns to the
-    seeds, so each kind keeps a total of one. Both kinds move in the same rounds; every fourth round is written out.
+    seeds, so each kind keeps a total of one. Both kinds move in the same rounds until no host is reached for the first
+    time and each kind's masses change by less than ``tolerance`` in all, at the latest after ``rounds``; this is looked at
+    every fourth round, when the masses are written out.
     """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
     start = cut(seeds.join(F.broadcast(total), "kind").select("host", "kind", (F.col("weight") / F.col("all")).alias("start")))  # one row a kind
@@ -75,14 +78,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     now = start.withColumnRenamed("start", "mass")
     if moves.isEmpty():
         return now  # nothing moves: all mass returns to the seeds
-    for k in range(rounds):
+    before = now
+    for k in range(1, rounds + 1):
         moved = now.join(moves, ["host", "kind"]).groupBy(F.col("dst").alias("host"), "kind").agg(F.sum(damping * F.col("mass") * F.col("share")).alias("mass"))
         stays = moved.groupBy("kind").agg(F.sum("mass").alias("moved"))
         # what did not move along a link, damped or on hosts without links, returns to the seeds
         back = start.join(F.broadcast(stays), "kind", "left").select("host", "kind", (F.col("start") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("mass"))
         now = moved.unionByName(back).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
-        if k % 4 == 3 or k == rounds - 1:
+        if k % 4 == 0 or k == rounds:
             now = cut(now)
+            change = now.join(before.withColumnRenamed("mass", "old"), ["host", "kind"], "full").groupBy("kind")
+            change = change.agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("moved"), F.count_if(F.col("old").isNull()).alias("new"))
+            if change.where((F.col("moved") >= tolerance) | (F.col("new") > 0)).isEmpty():
+                break
+            before = now
     return now
 
 
@@ -92,7 +101,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     A host most of whose pages a rule blocks is a seed of distrust with that share as weight; one with more pages
     allowed than blocked by rules is a seed of trust. A page without a rule is blocked if its host's distrust exceeds
     ``ratio`` times its trust. Null addresses and those without ``://`` have empty host and path and are allowed; null
-    html has no links; repeated rows come back repeated; an empty table gives no rows.
+    html has no links; repeated rows come back repeated; an empty table gives no rows. Columns other than the three named
+    are ignored. Masses are compared in proportion, so it doesn't matter how many hosts share them.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     page = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
@@ -107,7 +117,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     mass = propagate(edges, seeds)
     scores = mass.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
     judged = page.drop("html").join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    by_host = F.when(F.round("distrust", 12) > F.round(ratio * F.col("trust"), 12), "block").otherwise("allow")
+    by_host = F.when(F.col("distrust") > ratio * F.col("trust") * (1 + EQUAL), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.action", by_host).alias("verdict"), "trust", "distrust")
 
 
