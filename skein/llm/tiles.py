@@ -1,4 +1,4 @@
-"""Blocks of vectors as rows, and the pairs of blocks that an exact search has to look at.
+"""Blocks of vectors as rows, for exact searches that look at pairs of blocks.
 
 A block is one row with its vectors as one binary value, so shuffles and joins move blocks, not pairs of vectors.
 With n vectors and blocks of b, each block goes to n / b pairs: the shuffle is n / b times the table, the work n * n.
@@ -6,43 +6,25 @@ With n vectors and blocks of b, each block goes to n / b pairs: the shuffle is n
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
-    """(id, v array<double>) without null or empty vectors, null or non-finite components and, unless ``zero``, zero vectors."""
-    v = F.col(vec_col).cast("array<double>")
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(good, F.lit(False)))
-    return rows if zero else rows.where(F.exists("v", lambda x: x != 0))
+def is_usable(v: Column) -> Column:
+    """Whether a vector holds something and neither null nor non-finite components; null for a null vector."""
+    return (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def blocks(rows: DataFrame, per_block: int, extra: str | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """Rows (dim, block, ids, data, extra): the vectors of ``rows`` (id, v[, extra long]) in blocks of about ``per_block``.
+def per_length(counts: dict[int, int]) -> Column:
+    """The number of blocks of a row's ``dim``."""
+    return F.create_map(*[F.lit(int(x)) for kv in counts.items() for x in kv])[F.col("dim")] if counts else F.lit(1)
+
+
+def numbered(rows: DataFrame, per_block: int, by: Column) -> tuple[DataFrame, dict[int, int]]:
+    """``rows`` (with a column dim) with a ``block`` of about ``per_block`` rows by hash of ``by``, which should hardly repeat.
 
     Vectors of different lengths never share a block. Returns the number of blocks by vector length as well; there are
     as few of those as there are lengths.
     """
-    rows = rows.withColumn("dim", F.size("v"))
     counts = {r["dim"]: max(1, -(-r["count"] // per_block)) for r in rows.groupBy("dim").count().collect()}
-    number = F.create_map(*[F.lit(int(x)) for kv in counts.items() for x in kv]) if counts else None
-    if number is None:
-        rows = rows.withColumn("block", F.lit(0))
-    else:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), number[F.col("dim")]).cast("int"))
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
-        data = np.stack(frame["v"].to_numpy()).astype("<f8")
-        more = frame[extra].to_numpy().astype("<i8").tobytes() if extra else b""
-        return pd.DataFrame({"dim": [int(frame["dim"].iloc[0])], "block": [int(frame["block"].iloc[0])], "ids": [frame["id"].to_numpy().astype("<i8").tobytes()], "data": [data.tobytes()], "extra": [more]})
-
-    return rows.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, data binary, extra binary"), counts
-
-
-def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], "<i8")
-    return ids, np.frombuffer(row["data"], "<f8").reshape(len(ids), -1), np.frombuffer(row["extra"], "<i8")
+    return rows.withColumn("block", F.pmod(F.xxhash64(by), per_length(counts)).cast("int")), counts
