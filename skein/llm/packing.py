@@ -21,6 +21,8 @@ from skein.llm.common import released, slices, table
 from skein.llm.tokens import default_path, tokens
 
 TIERS = (1024, 512, 256, 128)
+RUN, RUNS = 4096, 1 << 14  # whole windows of a group, groups of an input partition
+NUMBERS = 24  # bits that number the sequences of a bucket
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, tier int, step_group long"
 NAMES = [part.split()[0].strip("`") for part in PIECE.split(",")]
 
@@ -115,25 +117,30 @@ def deal_steps(sequences: list[tuple[int, list[tuple[int, int, int]]]], step_tok
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, window: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Whole windows and rests of every document, with a bucket by their place in the input; rests carry their ids."""
+    """Whole windows and rests of every document with a bucket; rests carry their ids.
+
+    Rests go to ``buckets`` by their place in the input, whole windows, which need no partner, in runs to buckets below zero.
+    """
+    small = tokens(path).size <= 1 << 16
 
     def run(batches):
-        encode, part, no = tokens(path).ids, TaskContext.get().partitionId(), 0
+        encode, part, no, whole = tokens(path).ids, TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, text=1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encode(text), end_id).astype("<u4")
                 for start in range(0, len(ids), window):
-                    own = ids[start : start + window].tobytes()
-                    rows.append((doc_id, start, len(own) // 4, zlib.crc32(own), len(ids), own if len(own) < 4 * window else None, no))
-                    no += 1
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "no", "part"]
+                    own = ids[start : start + window]
+                    full = len(own) == window
+                    rows.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids), None if full else own.astype("<u2" if small else "<u4").tobytes(), no, -1 - (part * RUNS + whole // RUN) if full else None))
+                    no, whole = no + 1, whole + full
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "no", "run", "part"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(rows), pa.int32())], names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut_up = source.mapInArrow(released(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, no long, part int")
-    return cut_up.withColumn("bucket", F.pmod(F.xxhash64("part", "no"), F.lit(buckets)).cast("int"))
+    cut_up = source.mapInArrow(released(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, no long, run long, part int")
+    return cut_up.withColumn("bucket", F.coalesce("run", F.pmod(F.xxhash64("part", "no"), F.lit(buckets)))).drop("run")
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, tiers: tuple[int, ...] = TIERS, per_bucket: int = 4096, step_tokens: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,11 +148,14 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, tiers: tuple
 
     Every id of every document lies in exactly one piece; a document's ids end with ``end_id``, so null and empty texts
     have one. A sequence is as long as its tier, but for at most one padded sequence a bucket of about ``per_bucket``
-    documents. Buckets go by place in the input, not by value, so repeated rows spread. Step groups are numbered within
-    a bucket: the pair (bucket, group) is one long. An empty table gives no rows.
+    documents' rests; whole windows of long documents are sequences of their own and never more than a run in a task's
+    group. Buckets go by place in the input, not by value, so repeated rows spread. Step groups are numbered within a
+    bucket: the pair (bucket, group) is one long. Columns other than the two named are ignored. An empty table gives no
+    rows.
     """
-    window = tiers[0]
-    buckets = max(1, -(-docs.count() // per_bucket))
+    window, path = tiers[0], path or default_path()
+    kind = "<u2" if tokens(path).size <= 1 << 16 else "<u4"
+    buckets = max(1, -(-docs.count() // per_bucket))  # a document has one rest at most
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("part", "ascending"), ("no", "ascending")])
@@ -155,12 +165,12 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, tiers: tuple
         whole = [(window, [(k, 0, window)]) for k in np.flatnonzero(full).tolist()]
         packed = [(t, [(int(rests[k]), s, n) for k, s, n in sequence]) for t, sequence in pack_rests(size[rests].tolist(), tiers)]
         every = whole + packed
-        groups, base = deal_steps(every, step_tokens), group.column("bucket")[0].as_py() << 32
+        groups, base = deal_steps(every, step_tokens), group.column("bucket")[0].as_py() << NUMBERS
         rows = []
         for k, (tier, sequence) in enumerate(every):
             offset = 0
             for item, start, length in sequence:
-                crc = int(crcs[item]) if length == size[item] else zlib.crc32(ids[item].as_py()[4 * start : 4 * (start + length)])
+                crc = int(crcs[item]) if length == size[item] else zlib.crc32(np.frombuffer(ids[item].as_py(), kind)[start : start + length].astype("<u4").tobytes())
                 rows.append((item, int(start + first[item]), int(length), crc, base + k, offset, tier, base + groups[k]))
                 offset += int(length)
         items, *columns = zip(*rows)
@@ -168,7 +178,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, tiers: tuple
         starts, lengths, crc32s, sequences, offsets, tiers_of, steps = (pa.array(c, pa.int64()) for c in columns)
         return pa.Table.from_arrays([of.column(0), starts, lengths, crc32s, of.column(1), sequences, offsets, tiers_of.cast(pa.int32()), steps], names=NAMES)
 
-    found = pieces(docs, path or default_path(), end_id, window, buckets, id_col, text_col)
+    found = pieces(docs, path, end_id, window, buckets, id_col, text_col)
     return found.groupBy("bucket").applyInArrow(run, PIECE)
 
 

@@ -13,18 +13,21 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, released, slices, table
+from skein.llm.common import released, remove, shared_dir, slices, table
 from skein.llm.tokens import default_path, tokens
 
 END = 50256
+NO_ID = -(1 << 63)
 RANGE_BYTES = 256 << 20  # of records that one task writes, at most
 DIGEST = "slot long, shard long, byte_offset long, doc_id long, start long, length long, record_crc32 long"
 
@@ -75,9 +78,11 @@ def sequences(docs: DataFrame, path: str, length: int, end_id: int, id_col: str,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), "part int, no long, doc_id long, start long, n long, ids binary")
 
 
-def ordered(docs: DataFrame, path: str, key: str, length: int, per_shard: int, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """The sequences with their slots, range-partitioned by shard and sorted by slot, and their number."""
-    found = cut(sequences(docs, path, length, end_id, id_col, text_col))
+def ordered(docs: DataFrame, place: str, path: str, key: str, length: int, per_shard: int, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The sequences, written once to ``place``, with their slots, range-partitioned by shard and sorted by slot; their number."""
+    spark = docs.sparkSession
+    sequences(docs, path, length, end_id, id_col, text_col).write.option("compression", "zstd").parquet(place)
+    found = spark.read.parquet(place)
     sizes = {r["part"]: r["n"] for r in found.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number an input partition
     before, total = np.zeros(max(sizes, default=-1) + 1, np.int64), 0
     for part in sorted(sizes):
@@ -85,85 +90,100 @@ def ordered(docs: DataFrame, path: str, key: str, length: int, per_shard: int, e
     if not total:
         return found.select(F.lit(0).cast("long").alias("slot"), "doc_id", "start", "n", "ids").limit(0), 0
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index = before[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(feistel(index, total, key)), *(batch.column(k) for k in range(2, 6))], ["slot", "doc_id", "start", "n", "ids"])
 
-    placed = found.mapInArrow(released(place), "slot long, doc_id long, start long, n long, ids binary")
+    placed = found.mapInArrow(released(slots), "slot long, doc_id long, start long, n long, ids binary")
     shards = -(-total // per_shard)
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(shards, max(least, total * length * 4 // RANGE_BYTES)))
     target = F.least((F.col("slot") * 1.0 / per_shard).cast("long") * ranges / shards, F.lit(ranges - 1.0)).cast("int")
     return placed.repartitionById(ranges, target).sortWithinPartitions("slot"), total
 
 
-def materialise(docs: DataFrame, out: str | None = None, path: str | None = None, key: str = "epoch-0", length: int = 512, per_shard: int = 4096, end_id: int = END, pad_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a sequence: slot, shard, byte_offset, doc_id, start, length, record_crc32 (of the padded record).
+def write_order(docs: DataFrame, out: str, path: str | None = None, key: str = "epoch-0", length: int = 512, per_shard: int = 4096, end_id: int = END, pad_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Write the sequences of ``docs`` in training order to the folder ``out``; return what ``order.json`` holds.
 
-    With ``out`` (a folder that pyarrow and every executor can reach) the shards are written there as
-    ``shard-XXXXXXXX.bin`` when the rows are computed; a file appears under its name only when it is whole, so a task
-    that runs again replaces it by the same bytes. ``write_order`` writes all of them and a description. Null and empty
-    texts are one sequence of ``end_id``; repeated rows are sequences of their own; an empty table gives no rows. The
-    order depends on ``key`` and on how the input is split.
+    ``out`` is a folder that pyarrow and every executor can reach: an address, or a plain path in local mode. A shard is
+    ``shard-XXXXXXXX.bin``, records of ``length`` ids padded with ``pad_id``, and beside it ``shard-XXXXXXXX.idx``, for each
+    record doc_id, start and length as three 64-bit numbers. A file appears under its name only when it is whole, so a
+    task that runs again replaces it by the same bytes; ``order.json`` is written last.
+
+    Null and empty texts are one sequence of ``end_id``; texts count whole; repeated rows are sequences of their own; a
+    null id is written as the least long; an empty table gives a description and no shards; columns other than the two
+    named are ignored. The order depends on ``key`` and on how the input is split.
     """
     path = path or default_path()
     width = 2 if tokens(path).size <= 1 << 16 else 4
-    rows, total = ordered(docs, path, key, length, per_shard, end_id, id_col, text_col)
-    stride, pad = length * width, pad_id.to_bytes(width, "little")
+    fs, base = _files(out)
+    if "://" not in out and not out.startswith("file:") and not docs.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError(f"{out} is a path on each executor's own disk; name a shared folder by its address")
+    fs.create_dir(base, recursive=True)
+    place = f"{shared_dir(docs.sparkSession)}/sequences-{uuid4().hex}"
+    rows, total = ordered(docs, place, path, key, length, per_shard, end_id, id_col, text_col)
+    pad = pad_id.to_bytes(width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _files(out) if out else (None, None)
-        stream, current = None, -1
+        fs, base = _files(out)
+        shard, current = None, -1
         for batch in slices(batches, rows=2048):
             slots = batch.column(0).to_numpy()
-            records = [x + pad * (length - len(x) // width) for x in batch.column(4).to_pylist()]
-            if fs:
-                for slot, record in zip(slots.tolist(), records):
-                    if slot // per_shard != current:
-                        _finish(fs, base, current, stream)
-                        current = slot // per_shard
-                        stream = fs.open_output_stream(_partial(base, current))
-                    stream.write(record)
-            crcs = pa.array([zlib.crc32(r) for r in records], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots // per_shard), pa.array(slots % per_shard * stride), batch.column(1), batch.column(2), batch.column(3), crcs], [c.split()[0] for c in DIGEST.split(", ")])
-        if fs:
-            _finish(fs, base, current, stream)
-
-    return rows.mapInArrow(released(write), DIGEST)
+            about = np.stack([pc.fill_null(batch.column(k), NO_ID).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], axis=1).astype("<i8")
+            for k, (slot, ids) in enumerate(zip(slots.tolist(), batch.column(4).to_pylist())):
+                if slot // per_shard != current:
+                    if shard:
+                        shard.finish()
+                    current = slot // per_shard
+                    shard = Shard(fs, base, current)
+                shard.add(ids + pad * (length - len(ids) // width), about[k].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([len(slots)], pa.int64())], ["n"])
+        if shard:
+            shard.finish()
+
+    written = rows.mapInArrow(released(write), "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    if written != total:
+        raise RuntimeError(f"{written} of {total} sequences were written")
+    remove(docs.sparkSession, place)
+    about = {"sequences": total, "length": length, "bytes_per_id": width, "per_shard": per_shard}
+    with fs.open_output_stream(f"{base}/order.json") as f:
+        f.write(json.dumps(about).encode())
+    return about
 
 
-def _files(out: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (pafs.LocalFileSystem(), out)
+class Shard:
+    """A shard and its index under other names until both are whole."""
 
+    def __init__(self, fs: pafs.FileSystem, base: str, number: int):
+        self.fs, task = fs, TaskContext.get().taskAttemptId()
+        self.names = [(f"{base}/_partial-{number:08d}-{task}.{x}", f"{base}/shard-{number:08d}.{x}") for x in ("bin", "idx")]
+        self.streams = [fs.open_output_stream(own) for own, _ in self.names]
 
-def _partial(base: str, shard: int) -> str:
-    return f"{base}/_partial-{shard:08d}-{TaskContext.get().taskAttemptId()}"
+    def add(self, record: bytes, about: bytes) -> None:
+        self.streams[0].write(record)
+        self.streams[1].write(about)
 
+    def finish(self) -> None:
+        for stream, (own, name) in zip(self.streams, self.names):
+            stream.close()
+            self.fs.move(own, name)
 
-def _finish(fs: pafs.FileSystem, base: str, shard: int, stream) -> None:
-    if stream is not None:
-        stream.close()
-        fs.move(_partial(base, shard), f"{base}/shard-{shard:08d}.bin")
+
+def _files(out: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (pafs.LocalFileSystem(), out)
 
 
-def write_order(docs: DataFrame, out: str, length: int = 512, per_shard: int = 4096, **options) -> dict:
-    """Write all shards to the folder ``out`` and ``order.json`` last; return what that holds."""
+def read_about(out: str) -> dict:
     fs, base = _files(out)
-    fs.create_dir(base, recursive=True)
-    total = materialise(docs, out, length=length, per_shard=per_shard, **options).count()
-    width = 2 if tokens(options.get("path") or default_path()).size <= 1 << 16 else 4
-    about = {"sequences": total, "length": length, "bytes_per_id": width, "per_shard": per_shard}
-    with fs.open_output_stream(f"{base}/order.json") as f:
-        f.write(json.dumps(about).encode())
-    return about
+    with fs.open_input_stream(f"{base}/order.json") as f:
+        return json.loads(f.read())
 
 
 def read_order(out: str, slot: int = 0, rows: int = 64) -> Iterator[np.ndarray]:
     """Batches of at most ``rows`` sequences in training order from ``slot`` on, read front to back."""
     fs, base = _files(out)
-    with fs.open_input_stream(f"{base}/order.json") as f:
-        about = json.loads(f.read())
+    about = read_about(out)
     stride, kind = about["length"] * about["bytes_per_id"], f"<u{about['bytes_per_id']}"
     while slot < about["sequences"]:
         shard, first = divmod(slot, about["per_shard"])
@@ -174,5 +194,32 @@ def read_order(out: str, slot: int = 0, rows: int = 64) -> Iterator[np.ndarray]:
                 slot += len(data) // stride
 
 
+def written_records(spark: SparkSession, out: str) -> DataFrame:
+    """What lies in the shards of ``out``, read front to back: a row a sequence, with the CRC-32 of its padded record."""
+    about = read_about(out)
+    stride, per_shard = about["length"] * about["bytes_per_id"], about["per_shard"]
+    shards = -(-about["sequences"] // per_shard)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _files(out)
+        for shard in (x for batch in batches for x in batch.column(0).to_pylist()):
+            name, first = f"{base}/shard-{shard:08d}", 0
+            with fs.open_input_stream(f"{name}.bin") as data, fs.open_input_stream(f"{name}.idx") as index:
+                while own := data.read(1024 * stride):
+                    n = len(own) // stride
+                    of = np.frombuffer(index.read(24 * n), "<i8").reshape(n, 3)
+                    places = np.arange(first, first + n)
+                    crcs = [zlib.crc32(own[k : k + stride]) for k in range(0, len(own), stride)]
+                    ids = pa.array(of[:, 0], mask=of[:, 0] == NO_ID)
+                    columns = [pa.array(shard * per_shard + places), pa.array(np.full(n, shard)), pa.array(places * stride), ids, pa.array(of[:, 1]), pa.array(of[:, 2]), pa.array(crcs, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGEST.split(", ")])
+                    first += n
+
+    return spark.range(0, shards, 1, max(1, min(shards, 10_000))).mapInArrow(released(read), DIGEST)
+
+
 def op3_token_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(table(spark, sf_dir, "documents"))
+    """The records of the shards that it writes to a new folder in the shared one; the folder stays, the result reads it."""
+    out = f"{shared_dir(spark)}/token-order-{uuid4().hex}"
+    write_order(table(spark, sf_dir, "documents"), out)
+    return written_records(spark, out)

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import zlib
+from pathlib import Path
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -68,7 +69,7 @@ def test_packing_sequences(packed):
         assert n <= 1024 and own["tier"].nunique() == own["step_group"].nunique() == 1
         padded += 0 if n & (n - 1) == 0 else 1024 - n
         assert n == own["tier"].iloc[0] or n < 128 or n & (n - 1)
-    buckets = packed["sequence_id"].floordiv(1 << 32).nunique()
+    buckets = packed["sequence_id"].floordiv(1 << packing.NUMBERS).nunique()
     assert padded <= 1024 * buckets
     groups = packed.groupby(["step_group", "tier"])["length"].sum()
     assert (groups <= 16384).all()
@@ -93,6 +94,15 @@ def test_rests_are_packed_whole(lengths):
     assert len(short) <= 1
 
 
+def test_long_documents_are_packed_in_runs(spark, monkeypatch):
+    """Windows of one long document go to several groups; sequences stay apart."""
+    monkeypatch.setattr(packing, "RUN", 7)
+    rows = packing.pack(spark.createDataFrame([(1, "river stone " * 30_000), (2, "a")], "doc_id long, text string")).toPandas()
+    whole = rows[rows["length"] == 1024]
+    assert len(whole) > 50 and whole["sequence_id"].is_unique and whole["sequence_id"].floordiv(1 << packing.NUMBERS).value_counts().max() <= 7
+    assert rows[rows["doc_id"] == 1]["length"].sum() == rows[rows["doc_id"] == 1]["doc_tokens"].iloc[0]
+
+
 def test_packing_edges(spark, no_docs):
     assert packing.pack(no_docs).count() == 0
     odd = spark.createDataFrame([(None, "a b"), (7, "x"), (7, "x")], "doc_id long, text string")
@@ -142,7 +152,8 @@ def test_feistel_permutes(n):
 def test_order_round_trip(docs, texts, tmp_path):
     out = f"file://{tmp_path}/order"
     about = tokenbin.write_order(docs, out, length=64, per_shard=50)
-    rows = tokenbin.materialise(docs, length=64, per_shard=50).collect()
+    rows = tokenbin.written_records(docs.sparkSession, out).collect()
+    assert len(list((tmp_path / "order").glob("shard-*.bin"))) == len(list((tmp_path / "order").glob("shard-*.idx"))) == -(-about["sequences"] // 50)
     assert sorted(r["slot"] for r in rows) == list(range(about["sequences"])) and len(rows) == about["sequences"]
     got = np.concatenate(list(tokenbin.read_order(out)))
     ids = {k: [*ids_of(t), tokenbin.END] for k, t in enumerate(texts)}
@@ -156,7 +167,27 @@ def test_order_round_trip(docs, texts, tmp_path):
     assert json.loads((tmp_path / "order/order.json").read_text()) == about and not list((tmp_path / "order").glob("_partial*"))
 
 
-def test_order_edges(spark, no_docs):
-    assert tokenbin.materialise(no_docs).count() == 0
+def test_order_edges(spark, no_docs, tmp_path):
+    assert tokenbin.write_order(no_docs, f"{tmp_path}/none")["sequences"] == 0 and tokenbin.written_records(spark, f"{tmp_path}/none").count() == 0
     odd = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string")
-    assert [(r["slot"], r["length"]) for r in tokenbin.materialise(odd).orderBy("slot").collect()] == [(0, 1), (1, 1), (2, 1)]
+    tokenbin.write_order(odd, f"{tmp_path}/odd")
+    got = tokenbin.written_records(spark, f"{tmp_path}/odd").orderBy("slot").collect()
+    assert [(r["slot"], r["length"]) for r in got] == [(0, 1), (1, 1), (2, 1)] and Counter(r["doc_id"] for r in got) == {None: 1, 1: 2}
+
+
+def test_the_query_writes_its_shards(spark):
+    """What it returns lies in the shared folder, and reading can begin within a shard."""
+    from skein.llm.common import shared_dir
+
+    place = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(place.glob("token-order-*"))
+    rows = tokenbin.op3_token_order(spark, "/root/testdata/sf0.01").collect()
+    (out,) = set(place.glob("token-order-*")) - before
+    assert len(list(out.glob("shard-*.bin"))) == -(-len(rows) // 4096) and not list(place.glob("sequences-*"))
+    crc = {r["slot"]: r["record_crc32"] for r in rows}
+    slot = len(rows) - 100
+    for batch in tokenbin.read_order(f"file:{out}", slot=slot):
+        for record in batch:
+            assert zlib.crc32(record.tobytes()) == crc[slot]
+            slot += 1
+    assert slot == len(rows) == len(crc)
