@@ -10,9 +10,14 @@ from typing import NamedTuple
 from skein.functions.scanner import Call, Facts, Function, Source, unquote
 
 #: Template tags of the framework itself, and the calls that mark each API style (fixed values).
-FRAMEWORK_TAGS = frozenset("component keep-alive router-link router-view slot suspense teleport transition transition-group".split())
-COMPOSITION_CALLS = frozenset("ref computed watch onMounted reactive".split())
-MACROS = frozenset("defineProps defineEmits defineExpose defineOptions defineSlots defineModel withDefaults".split())
+FRAMEWORK_TAGS = frozenset(
+    [
+        "component", "keep-alive", "router-link", "router-view", "slot", "suspense", "teleport", "transition",
+        "transition-group",
+    ]
+)
+COMPOSITION_CALLS = frozenset(["ref", "computed", "watch", "onMounted", "reactive"])
+MACROS = frozenset(["defineProps", "defineEmits", "defineExpose", "defineOptions", "defineSlots", "defineModel", "withDefaults"])
 MAP_HELPERS = {"mapState": "state", "mapGetters": "getter", "mapActions": "action", "mapMutations": "mutation"}
 STORE_PARTS = {"state": "state", "getters": "getter", "mutations": "mutation", "actions": "action"}
 #: Characters of a function's text that are kept, and the patterns of tags and annotations (fixed values).

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import base_name, wildcard_regex
 from skein.operators import edges as E
-from skein.operators.graph import Graph, insert_edges
+from skein.operators.graph import Graph, insert_edges, upsert_last
 from skein.plans.lineage import cut
 from skein.plans.plugins import Registry
 from skein.schema import EDGES, ENDS
@@ -80,8 +80,13 @@ def items_of(facts: DataFrame) -> DataFrame:
 
 def build(spark: SparkSession, config: Config, registry: Registry | None = None, compat: bool = True) -> Graph:
     """The graph of the project at ``config.source_root``. Plugins of the registry that find their framework take part."""
-    root = config.source_root.rstrip("/")
-    listing = cut(S.read_files(spark, root))
+    return assemble(S.read_files(spark, config.source_root.rstrip("/")), config, registry, compat)
+
+
+def assemble(listing: DataFrame, config: Config, registry: Registry | None = None, compat: bool = True) -> Graph:
+    """The graph of files (path, rel_path, content, length), of which ``build`` reads a folder's."""
+    spark, root = listing.sparkSession, config.source_root.rstrip("/")
+    listing = cut(listing)
     active = registry.active(listing, os.path.dirname(root)) if registry else []
     for plugin in active:
         config = plugin.contribute(config, compat)
@@ -96,17 +101,18 @@ def build(spark: SparkSession, config: Config, registry: Registry | None = None,
     functions, items = cut(functions_of(facts)), cut(items_of(facts))
     package = S.package(spark, os.path.dirname(root))
     nodes = entities.select(F.col("path").alias("id"), F.when(F.col("name") == "", base_name(F.col("path"))).otherwise(F.col("name")).alias("name"), "entity_type", "properties").unionByName(package)
+    nodes = cut(upsert_last(nodes.withColumn("k", F.monotonically_increasing_id()), "id", "k").drop("k"))
 
     found = [E.imports(facts, E.folders(listing), entities, root, S.aliases(os.path.dirname(root)))]
     if (related := E.configured(facts, entities, config)) is not None:
         found.append(related)
     for parts in registry.each(active, lambda p: p.after(facts, entities, items)) if registry else []:
         found += parts
-    between = found[0]
-    for part in found[1:]:
-        between = between.unionByName(part)
+    between = found[0].withColumn("k", F.lit(0))
+    for k, part in enumerate(found[1:], 1):  # of equal relations that of the earlier part stays: imports, configuration, plugins
+        between = between.unionByName(part.withColumn("k", F.lit(k)))
     ends = nodes.select("id")
-    between = insert_edges(between.withColumn("k", F.lit(0)), ends, "k").drop("k")
+    between = insert_edges(between, ends, "k").drop("k")
     parts = [between, E.uses_api(facts, apis, 1 + bool(active)), E._edges(items, "store_path", "id", "has_item"), E._edges(functions, "entity_path", "id", "defines")]
     used = E.store_item_uses(facts, items) if active else None
     every = parts[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.extract import MAP_HELPERS
 from skein.functions.text import base_name, directory, normal_channel, normal_name
 from skein.operators.detectors import detect
 from skein.operators.graph import first_of
@@ -14,12 +15,14 @@ from skein.sources.config import Config
 from skein.sources.facts import of
 
 #: Callee names that never resolve to a function of the project (fixed values).
-BUILTINS = (
-    "if switch for while return throw typeof instanceof new import export require console JSON Math Object Array String Number Boolean Promise Map Set Ref ComputedRef parseInt parseFloat isNaN setTimeout setInterval clearTimeout clearInterval alert confirm prompt fetch isFinite encodeURIComponent decodeURIComponent"
-).split()
+BUILTINS = [
+    "if", "switch", "for", "while", "return", "throw", "typeof", "instanceof", "new", "import", "export",
+    "require", "console", "JSON", "Math", "Object", "Array", "String", "Number", "Boolean", "Promise", "Map",
+    "Set", "Ref", "ComputedRef", "parseInt", "parseFloat", "isNaN", "setTimeout", "setInterval", "clearTimeout",
+    "clearInterval", "alert", "confirm", "prompt", "fetch", "isFinite", "encodeURIComponent", "decodeURIComponent",
+]
 #: How sure a call is inside a file and across files (fixed values).
 SAME_FILE, OTHER_FILE = 0.95, 0.8
-MAP_HELPERS = ["mapState", "mapGetters", "mapMutations", "mapActions"]
 COLUMNS = ["src", "dst", "rel_type", "properties"]
 
 
@@ -76,7 +79,7 @@ def _matches(kind: str, m_name: Column, m_args: Column, e_path: Column, e_name:
         by_core = (F.length(core) > 2) & (base.contains(core) | core.contains(base))
         module = vuex_modules(m_args)
         low = F.lower(e_path)
-        by_module = m_name.isin(MAP_HELPERS) & F.exists(module, lambda x: (base == x) | low.contains(F.concat(F.lit("/"), x, F.lit("/"))))
+        by_module = m_name.isin(list(MAP_HELPERS)) & F.exists(module, lambda x: (base == x) | low.contains(F.concat(F.lit("/"), x, F.lit("/"))))
         return by_name | by_core | F.coalesce(by_module, F.lit(False))
     if kind == "member_expression":
         return F.lower(e_type).contains("store")
@@ -98,7 +101,7 @@ def vuex_modules(args: Column) -> Column:
 def configured(facts: DataFrame, entities: DataFrame, config: Config) -> DataFrame | None:
     """Relations that the configuration defines: matches of its detectors against the entities of the target type.
 
-    What a match means is containment of names, which has no key, so this is a nested loop over the entities of one type;
+    Of several matches of one pair, the first detector's first match counts. What a match means is containment of names, which has no key, so this is a nested loop over the entities of one type;
     they are broadcast if they are few.
     """
     found = None
@@ -107,12 +110,13 @@ def configured(facts: DataFrame, entities: DataFrame, config: Config) -> DataFra
             continue
         targets = small_side(entities.where(F.col("entity_type") == r.target).select(F.col("path").alias("e_path"), F.col("name").alias("e_name"), F.col("entity_type").alias("e_type")))
         own = facts.where(F.col("entity_type") == r.source)
-        for kind, pattern in r.detect_by:
+        for place, (kind, pattern) in enumerate(r.detect_by):
             matches = detect(own, kind, pattern)
             if matches is None:
                 continue
             met = matches.join(targets, (F.col("path") != F.col("e_path")) & _matches(kind, F.col("name"), F.col("args"), F.col("e_path"), F.col("e_name"), F.col("e_type")))
-            part = _edges(met, "path", "e_path", name, "ordinal", line=F.col("line"), evidence=F.col("full"))
+            met = met.withColumn("place", F.struct(F.lit(place).alias("detector"), "ordinal"))
+            part = _edges(met, "path", "e_path", name, "place", line=F.col("line"), evidence=F.col("full"))
             found = part if found is None else found.unionByName(part)
     return None if found is None else _first(found)
 
@@ -137,7 +141,7 @@ def calls(facts: DataFrame, functions: DataFrame) -> DataFrame:
     source = functions.select(F.col("id").alias("src"), F.col("name").alias("caller"), F.col("file_path").alias("path"), F.col("start_line").alias("line"))
     met = inside.join(source, ["path", "caller", "line"]).join(target, "callee").where("src <> dst")
     sure = F.when(F.col("path") == F.col("dst_path"), SAME_FILE).otherwise(OTHER_FILE)
-    return met.select("src", "dst", F.lit("CALLS").alias("rel_type"), sure.alias("confidence"), F.concat("caller", F.lit("→"), "callee").alias("call_site")).dropDuplicates(["src", "dst"])
+    return met.select("src", "dst", F.lit("CALLS").alias("rel_type"), sure.alias("confidence"), F.concat("caller", F.lit("→"), "callee").alias("call_site")).distinct()
 
 
 def mixins(facts: DataFrame, entities: DataFrame) -> DataFrame:
@@ -146,17 +150,17 @@ def mixins(facts: DataFrame, entities: DataFrame) -> DataFrame:
     targets = small_side(entities.where("entity_type = 'mixin'").select(F.col("path").alias("e_path"), F.col("ordinal").alias("e_ordinal"), normal_name(base_name(F.col("path"))).alias("e")))
     met = named.join(targets, F.col("m").contains(F.col("e")) | F.col("e").contains(F.col("m")))
     chosen = first_of(met.select("path", "ordinal", "name", "e_path", "e_ordinal"), ["path", "ordinal"], ["e_ordinal"])
-    return _edges(chosen, "path", "e_path", "uses_mixin", mixin=F.col("name")).dropDuplicates(["src", "dst"])
+    return _first(_edges(chosen, "path", "e_path", "uses_mixin", "ordinal", mixin=F.col("name")))
 
 
 def components(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """The first other component, page or layout whose own name or file name a template tag stands for."""
-    tags = of(facts, "tag").select("path", F.col("name").alias("tag"), "line", normal_name(F.col("name")).alias("key")).where("key <> ''")
+    tags = of(facts, "tag").select("path", F.col("name").alias("tag"), "line", "ordinal", normal_name(F.col("name")).alias("key")).where("key <> ''")
     shown = entities.where(F.col("entity_type").isin("component", "page", "layout"))
     names = shown.select(F.col("path").alias("e_path"), F.col("ordinal").alias("e_ordinal"), F.explode(F.array_distinct(F.array(normal_name(F.coalesce("name", F.lit(""))), normal_name(base_name(F.col("path")))))).alias("key"))
     met = tags.join(names.where("key <> ''"), "key").where("path <> e_path")
     chosen = first_of(met, ["path", "tag"], ["e_ordinal"])
-    return _edges(chosen, "path", "e_path", "uses_component", tag=F.col("tag"), line=F.col("line")).dropDuplicates(["src", "dst"])
+    return _first(_edges(chosen, "path", "e_path", "uses_component", "ordinal", tag=F.col("tag"), line=F.col("line")))
 
 
 def store_item_uses(facts: DataFrame, items: DataFrame) -> DataFrame:

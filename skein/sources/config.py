@@ -24,9 +24,21 @@ PLUGIN_ENTITIES = {
 }
 PLUGIN_MARKERS = {"component": [{"uses_options_api": False}, {"naming_pattern": "*.vue"}]}
 PLUGIN_APIS = {
-    "vue": "ref reactive computed watch watchEffect onMounted onUnmounted onBeforeMount onBeforeUnmount onUpdated onBeforeUpdate onActivated onDeactivated provide inject defineComponent defineAsyncComponent nextTick shallowRef shallowReactive toRef toRefs isRef unref triggerRef customRef markRaw toRaw readonly shallowReadonly useCssModule useCssVars useSlots useAttrs",
-    "vue-router": "createRouter createWebHistory createWebHashHistory createMemoryHistory useRouter useRoute onBeforeRouteUpdate onBeforeRouteLeave",
-    "pinia": "defineStore createPinia useStore storeToRefs setActivePinia getActivePinia setMapStoreSuffix",
+    "vue": [
+        "ref", "reactive", "computed", "watch", "watchEffect", "onMounted", "onUnmounted", "onBeforeMount",
+        "onBeforeUnmount", "onUpdated", "onBeforeUpdate", "onActivated", "onDeactivated", "provide", "inject",
+        "defineComponent", "defineAsyncComponent", "nextTick", "shallowRef", "shallowReactive", "toRef", "toRefs",
+        "isRef", "unref", "triggerRef", "customRef", "markRaw", "toRaw", "readonly", "shallowReadonly",
+        "useCssModule", "useCssVars", "useSlots", "useAttrs",
+    ],
+    "vue-router": [
+        "createRouter", "createWebHistory", "createWebHashHistory", "createMemoryHistory", "useRouter", "useRoute",
+        "onBeforeRouteUpdate", "onBeforeRouteLeave",
+    ],
+    "pinia": [
+        "defineStore", "createPinia", "useStore", "storeToRefs", "setActivePinia", "getActivePinia",
+        "setMapStoreSuffix",
+    ],
 }
 #: Relations of the plugin: from, to, and what detects them. The second list is what its patterns mean, the first is the text
 #: as it stands, whose patterns mostly never match.
@@ -106,7 +118,7 @@ def with_plugin(config: Config, compat: bool = True) -> Config:
     stay, and the plugin's are added with patterns that can match.
     """
     entities = {name: list(dict.fromkeys([*config.entities.get(name, []), *PLUGIN_ENTITIES.get(name, [])])) for name in {**config.entities, **PLUGIN_ENTITIES}}
-    apis = {name: list(dict.fromkeys([*config.apis.get(name, []), *PLUGIN_APIS.get(name, "").split()])) for name in {**config.apis, **PLUGIN_APIS}}
+    apis = {name: list(dict.fromkeys([*config.apis.get(name, []), *PLUGIN_APIS.get(name, [])])) for name in {**config.apis, **PLUGIN_APIS}}
     added = {name: Relationship(a, b, literal if compat else meant) for name, (a, b, literal, meant) in PLUGIN_RELATIONS.items()}
     relations = {**config.relationships, **added} if compat else {**added, **config.relationships}
     markers = {name: [*config.markers.get(name, []), *PLUGIN_MARKERS.get(name, [])] for name in entities}
