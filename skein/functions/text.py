@@ -41,12 +41,6 @@ def unquoted(text: Column) -> Column:
     return F.regexp_replace(text, "^['\"`]|['\"`]$", "")
 
 
-def route_path(parent: Column, path: Column) -> Column:
-    """An absolute path as it is, another below its parent."""
-    base = F.regexp_replace(F.coalesce(parent, F.lit("")), "/$", "")
-    return F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path))
-
-
 def glob_regex(pattern: str) -> str:
     """An anchored regular expression for a path glob with ``*``, ``**``, ``?`` and ``{a,b}``."""
     out, at = [], 0
@@ -89,7 +83,10 @@ def matches_loosely(text: Column, pattern: str | None, escape: bool = False) ->
 
 
 def code_tokens(text: Column) -> Column:
-    """The terms of code: identifiers split at changes of case, lower-cased, two letters or more and not only digits."""
+    """The terms of code: identifiers split at changes of case, lower-cased, two letters or more and not only digits.
+
+    The expressions are fixed values.
+    """
     words = F.filter(F.split(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9_$]+"), lambda w: F.length(w) >= 2)
     spaced = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, "([a-z])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2"))
     parts = F.flatten(F.transform(spaced, lambda w: F.split(F.lower(w), " ")))

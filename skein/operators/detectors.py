@@ -42,13 +42,6 @@ def template_element(facts: DataFrame, pattern: str) -> DataFrame:
     return of(facts, "tag").where(F.col("name").contains(pattern) if pattern else F.lit(False)).select(*MATCH)
 
 
-def template_counts(files: DataFrame, texts: list[str]) -> DataFrame:
-    """(path, matched, count): how often each text stands in a file."""
-    each = F.explode(F.array(*[F.lit(t) for t in texts])).alias("matched")
-    counted = files.select("path", "content", each).withColumn("count", ((F.length("content") - F.length(F.replace("content", F.col("matched"), F.lit("")))) / F.length("matched")).cast("long"))
-    return counted.where("count > 0").select("path", "matched", "count")
-
-
 DETECTORS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "import_statement": _by_name("import", exact=False),
     "call_expression": _by_name("call", exact=True),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.graph import first_of
-from skein.operators.joins import overlaps
+from skein.operators.joins import carry_forward, overlaps
 from skein.operators.traverse import reach
 
 FILE = r"^diff --git a/.* b/(.*)$"
@@ -22,8 +22,8 @@ def hunks(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     named = lines.where(F.col("line").rlike("^(diff --git |@@ )"))
     path = F.nullif(F.regexp_extract("line", FILE, 1), F.lit(""))
-    order = Window.partitionBy(*by).orderBy("line_no") if by else Window.orderBy("line_no")
-    read = named.withColumn("file_path", F.last(path, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    named = named.withColumn("file_path", path)
+    read = named.withColumn("file_path", carry_forward(named, "file_path", "line_no", by))
     read = read.withColumn("low", F.nullif(F.regexp_extract("line", HUNK, 1), F.lit("")).cast("long")).where("low is not null and file_path is not null")
     count = F.coalesce(F.nullif(F.regexp_extract("line", HUNK, 2), F.lit("")).cast("long"), F.lit(1))
     return read.select(*by, "file_path", "low", (F.col("low") + count - 1).alias("high"), F.col("line_no").alias("ordinal"))
@@ -35,7 +35,7 @@ def changed_functions(ranges: DataFrame, functions: DataFrame, line: str = "file
     ``line``: ``file_start_line`` for lines of the file, ``start_line`` for lines of the script block as stored.
     """
     spans = functions.select("id", "name", "kind", "file_path", F.col(line).alias("start_line"), (F.col("end_line") + F.col(line) - F.col("start_line")).alias("end_line"))
-    met = overlaps(ranges, spans, "file_path")
+    met = overlaps(ranges, spans, ["file_path"])
     return first_of(met, ["file_path", "name"], ["ordinal", "start_line", F.length("id"), "id"]).select("id", "name", "kind", "file_path", "start_line", "low", "high")
 
 

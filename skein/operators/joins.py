@@ -1,28 +1,16 @@
-"""The join family of the graph builder: first match, fuzzy, ranked and interval joins."""
+"""Joins of the graph builder: candidates in order, intervals, values carried forward, as-of."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import normal_name
 from skein.operators.graph import first_of
 
 #: Endings that an import path may lack, in the order in which they are tried; fixed values.
 SUFFIXES = ("", ".vue", ".ts", ".js", ".jsx", ".tsx", "/index.ts", "/index.js", "/index.vue")
 
 
-def classify_first(rows: DataFrame, text: Column, patterns: list[tuple[str, str]], name: str) -> DataFrame:
-    """``rows`` with the name of the first pattern (name, regular expression) that matches; others go.
-
-    The patterns are a configuration, a few dozen at most, so they become one expression.
-    """
-    chosen = F.lit(None).cast("string")
-    for label, regex in reversed(patterns):
-        chosen = F.when(text.rlike(regex), label).otherwise(chosen)
-    return rows.withColumn(name, chosen).where(F.col(name).isNotNull())
-
-
 def resolve_candidates(wanted: DataFrame, listing: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(src, base, path): for each (src, base) the first of base + suffix that ``listing`` (path) has."""
     tries = wanted.select("src", "base", F.posexplode(F.transform(F.array(*[F.lit(s) for s in suffixes]), lambda s: F.concat(F.col("base"), s))).alias("ordinal", "path"))
@@ -30,53 +18,16 @@ def resolve_candidates(wanted: DataFrame, listing: DataFrame, suffixes: tuple[st
     return first_of(found, ["src", "base"], ["ordinal"]).select("src", "base", "path")
 
 
-def join_normalised(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
-    """Rows whose names are equal in lower-case letters and digits; empty names match nothing."""
-    a = left.withColumn("__key", normal_name(F.col(left_name))).where("__key <> ''")
-    b = right.withColumn("__key", normal_name(F.col(right_name))).where("__key <> ''")
-    return a.join(b, "__key").drop("__key")
-
-
-def join_fuzzy(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: int = 2) -> DataFrame:
-    """Rows one of whose normalised names holds the other.
-
-    No key exists for containment, so this is a nested loop; ``right`` is to be the small side (entities of a project).
-    """
-    a = left.withColumn("__a", normal_name(F.col(left_name))).where(F.length("__a") >= least)
-    b = right.withColumn("__b", normal_name(F.col(right_name))).where(F.length("__b") >= least)
-    return a.join(b, F.col("__a").contains(F.col("__b")) | F.col("__b").contains(F.col("__a"))).drop("__a", "__b")
-
-
-def rank_stores(usages: DataFrame, items: DataFrame) -> DataFrame:
-    """The item of each usage (usage_id, item_name, store_name): (usage_id, item_id).
-
-    Items (item_id, item_name, store_name, ordinal) join on the normalised item name. An exact store wins over one whose
-    name holds or is held by the usage's, over the only candidate there is; otherwise the usage has none.
-    """
-    u = usages.select("usage_id", normal_name(F.col("item_name")).alias("k"), normal_name(F.coalesce("store_name", F.lit(""))).alias("us"))
-    i = items.select("item_id", "ordinal", normal_name(F.col("item_name")).alias("k"), normal_name(F.col("store_name")).alias("ist"))
-    pairs = u.join(i.join(i.groupBy("k").agg(F.count("*").alias("n")), "k"), "k")
-    fuzzy = (F.col("us") != "") & (F.col("us").contains(F.col("ist")) | F.col("ist").contains(F.col("us")))
-    kind = F.when(F.col("us") == F.col("ist"), 0).when(fuzzy, 1).when(F.col("n") == 1, 2)
-    return first_of(pairs.withColumn("kind", kind).where("kind is not null").select("usage_id", "item_id", "kind", "ordinal"), ["usage_id"], ["kind", "ordinal"]).select("usage_id", "item_id")
-
-
-def overlaps(ranges: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Rows of ``ranges`` (key, low, high) and ``spans`` (key, start_line, end_line) that share a point.
+def overlaps(ranges: DataFrame, spans: DataFrame, by: list[str], width: int = 64) -> DataFrame:
+    """Rows of ``ranges`` (low, high) and ``spans`` (start_line, end_line), with the columns ``by`` alike, that share a point.
 
-    The key bounds the interval part: both sides are shuffled by it and only rows of a key are compared.
+    Both sides go to bins of ``width`` and meet in the bin of the later start, so once. A key with many rows is spread over
+    its bins. A range with ``high`` = ``low`` - 1 is empty and meets the spans around the place.
     """
-    return ranges.join(spans, key).where((F.col("low") <= F.col("end_line")) & (F.col("high") >= F.col("start_line")))
-
-
-def overlaps_binned(ranges: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """The same without a key: both sides go to bins of ``width`` and meet in the bin of the later start, so once."""
     bins = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
-    a = ranges.withColumn("__bin", bins("low", "high"))
-    b = spans.withColumn("__bin", bins("start_line", "end_line"))
+    met = ranges.withColumn("__bin", bins("low", "high")).join(spans.withColumn("__bin", bins("start_line", "end_line")), [*by, "__bin"])
     later = F.floor(F.greatest("low", "start_line") / width)
-    met = a.join(b, "__bin").where((F.col("low") <= F.col("end_line")) & (F.col("high") >= F.col("start_line")) & (F.col("__bin") == later))
-    return met.drop("__bin")
+    return met.where((F.col("low") <= F.col("end_line")) & (F.col("high") >= F.col("start_line")) & (F.col("__bin") == later)).drop("__bin")
 
 
 def carry_forward(rows: DataFrame, value: str, order: str, by: list[str]) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import detectors, diff, graph, joins, layout, search, traverse
 from skein.plans.cypher import Catalog, cypher
-from skein.sources import tables
+from skein.sources import files, tables
+from skein.sources.config import Config
 from skein.sources.facts import facts as fact_table
-from skein.sources.facts import of
 from skein.sources.tables import ident, read
 from skein.streaming.edges import windowed_counts
 
@@ -33,8 +33,6 @@ def query(oracle: str | None = None):
 NODES = " UNION ALL ".join(f"SELECT '{label}:' || {key} AS id, CAST({name} AS VARCHAR) AS name, '{label}' AS entity_type FROM {table}" for table, (label, key, name) in tables.LABELS.items())
 EDGES = " UNION ALL ".join(f"SELECT '{a}:' || {ak} AS src, '{b}:' || {bk} AS dst, '{rel}' AS rel_type, '{a}' AS src_label, '{b}' AS dst_label FROM {table}" for rel, table, (a, ak), (b, bk) in tables.RELATIONS)
 GRAPH = f"nodes AS ({NODES}), edges AS ({EDGES})"
-SMALL = ("region", "nation", "customer", "supplier")
-SMALL_RELATIONS = ("in_region", "in_nation")
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -66,10 +64,10 @@ def hop_out(spark, sf_dir):
     return graph.hop(tables.edges(spark, sf_dir, ("in_region",)), tables.nodes(spark, sf_dir, ("nation", "region")), "in_region").select("from_name", "to_name", "rel_type")
 
 
-@query("SELECT 'nation:' || n_nationkey AS id, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
 def hop_in(spark, sf_dir):
-    edges = tables.edges(spark, sf_dir, ("in_nation",)).where("src_label = 'customer'")
-    return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    met = graph.hop(tables.edges(spark, sf_dir, ("in_nation",)), tables.nodes(spark, sf_dir, ("customer", "nation")), "in_nation")
+    return met.groupBy("to_id", F.col("to_name").alias("nation")).agg(F.count("*").alias("n")).select("nation", "n")
 
 
 @query(f"WITH {GRAPH} SELECT rel_type, dst AS other, 'out' AS direction FROM edges WHERE src = 'nation:7' UNION ALL SELECT rel_type, src, 'in' FROM edges WHERE dst = 'nation:7'")
@@ -93,17 +91,6 @@ def count_edges_by_label(spark, sf_dir):
     return tables.edges(spark, sf_dir).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {GRAPH} SELECT 'entities' AS part, entity_type AS label, count(*) AS n FROM nodes GROUP BY 2
-    UNION ALL SELECT 'relations', rel_type, count(*) FROM edges GROUP BY 2
-    UNION ALL SELECT 'total', 'entities', count(*) FROM nodes UNION ALL SELECT 'total', 'relations', count(*) FROM edges""")
-def project_overview(spark, sf_dir):
-    nodes = tables.nodes(spark, sf_dir).select(F.lit("entities").alias("part"), F.col("entity_type").alias("label"))
-    edges = tables.edges(spark, sf_dir).select(F.lit("relations").alias("part"), F.col("rel_type").alias("label"))
-    counted = nodes.unionByName(edges).groupBy("part", "label").agg(F.count("*").alias("n"))
-    totals = counted.groupBy(F.col("part").alias("label")).agg(F.sum("n").alias("n")).select(F.lit("total").alias("part"), "label", "n")
-    return counted.unionByName(totals)
-
-
 @query("SELECT a.o_orderkey AS order_id, b.o_orderkey AS sibling FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey")
 def sibling_join(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
@@ -131,14 +118,16 @@ def edge_multiplicity(spark, sf_dir):
     return pairs.groupBy("rel_type").agg(F.sum("n").alias("stored"), F.count("*").alias("distinct_pairs"))
 
 
-#: Types of pages by the first pattern that fits.
-PAGE_TYPES = [("paged", r"\?page="), ("anchor", "#"), ("german", "/de/"), ("blog", "://blog\\."), ("html", r"\.html$"), ("other", ".")]
+#: Entity types of pages by the globs of their paths, in order.
+PAGE_TYPES = {"german": ["de/**"], "html": ["**/*.html"], "short": ["*/?"], "rest": ["**"]}
 
 
-@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(url, '{p}') THEN '{n}'" for n, p in PAGE_TYPES) + " END AS entity_type FROM pages WHERE length(url) > 0")
+@query(r"""WITH f AS (SELECT page_id, '/site/' || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*/?', '') AS path FROM pages WHERE length(url) > 0)
+    SELECT page_id, CASE WHEN regexp_matches(path, '(?:^|/)de/.*$') THEN 'german' WHEN regexp_matches(path, '(?:^|/)(?:.*/)?[^/]*\.html$') THEN 'html' WHEN regexp_matches(path, '(?:^|/)[^/]*/[^/]$') THEN 'short' ELSE 'rest' END AS entity_type FROM f""")
 def classify_first_match(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").where(F.length("url") > 0)
-    return joins.classify_first(rows, F.col("url"), PAGE_TYPES, "entity_type").select("page_id", "entity_type")
+    rel = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]*/?", "")
+    rows = read(spark, sf_dir, "pages").select("page_id", rel.alias("rel_path"), F.concat(F.lit("/site/"), rel).alias("path"), F.length("url").alias("length"))
+    return files.classify(rows, Config("pages", "/site", PAGE_TYPES, {}, {})).select("page_id", "entity_type")
 
 
 @query("""WITH listing AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '') AS path FROM pages),
@@ -199,7 +188,7 @@ def overlap_join(spark, sf_dir):
     ranges = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderkey").alias("r_id"), at.alias("low"), (at + 5).alias("high"))
     line = F.col("p_partkey") % 390
     spans = read(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("k"), F.col("p_partkey").alias("s_id"), line.alias("start_line"), (line + F.col("p_size")).alias("end_line"))
-    return joins.overlaps(ranges, spans, "k").select("r_id", "s_id")
+    return joins.overlaps(ranges, spans, ["k"]).select("r_id", "s_id")
 
 
 @query("""WITH r AS (SELECT event_id, epoch_us(ts) // 60000000 AS low, epoch_us(ts) // 60000000 + CAST(floor(value) AS BIGINT) % 9 AS high FROM events WHERE event_type = 'error'),
@@ -209,7 +198,20 @@ def overlap_join_binned(spark, sf_dir):
     events = read(spark, sf_dir, "events").withColumn("minute", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60000000))
     ranges = events.where("event_type = 'error'").select("event_id", F.col("minute").alias("low"), (F.col("minute") + F.floor("value") % 9).alias("high"))
     spans = events.where("event_type = 'purchase'").select(F.col("event_id").alias("other"), F.col("minute").alias("start_line"), (F.col("minute") + 3).alias("end_line"))
-    return joins.overlaps_binned(ranges, spans, 32).select("event_id", "other")
+    return joins.overlaps(ranges, spans, [], 32).select("event_id", "other")
+
+
+@query("""WITH f AS (SELECT doc_id, 'g' || (doc_id % 200) AS source, 'f' || (doc_id % 50) AS name, doc_id * 20 AS start_line, doc_id * 20 + n_chars // 100 AS end_line FROM documents),
+    r AS (SELECT 'g' || (o_orderkey % 200) AS source, o_orderkey * 7 AS low, o_orderkey * 7 + 2 AS high, o_orderkey AS ordinal FROM orders),
+    m AS (SELECT f.source, f.name, f.doc_id, row_number() OVER (PARTITION BY f.source, f.name ORDER BY r.ordinal, f.start_line, length('f:' || f.doc_id), 'f:' || f.doc_id) AS k FROM f JOIN r ON f.source = r.source AND low <= end_line AND high >= start_line)
+    SELECT source, name, 'f:' || doc_id AS id FROM m WHERE k = 1""")
+def changed_functions(spark, sf_dir):
+    start = F.col("doc_id") * 20
+    file = lambda key: F.concat(F.lit("g"), (F.col(key) % 200).cast("string")).alias("file_path")
+    functions = read(spark, sf_dir, "documents").select(ident("f", "doc_id").alias("id"), F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.col("lang").alias("kind"), file("doc_id"), start.alias("start_line"), (start + F.floor(F.col("n_chars") / 100)).alias("end_line"), start.alias("file_start_line"))
+    key = F.col("o_orderkey")
+    ranges = read(spark, sf_dir, "orders").select(file("o_orderkey"), (key * 7).alias("low"), (key * 7 + 2).alias("high"), key.alias("ordinal"))
+    return diff.changed_functions(ranges, functions).select(F.col("file_path").alias("source"), "name", "id")
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS user_turn FROM conversations")
@@ -263,37 +265,7 @@ def search_by_kind(spark, sf_dir):
     return search.search(_part_docs(spark, sf_dir), "widget", kind="PROMO").withColumn("score", F.round("score", 6))
 
 
-# text of pages
-
-
-@query("SELECT page_id, unnest(regexp_extract_all(html, '<(script|style|nav|article|footer)[^>]*>', 1)) AS tag, count(*) AS n FROM pages GROUP BY 1, 2")
-def sfc_blocks(spark, sf_dir):
-    tags = F.regexp_extract_all("html", F.lit("<(script|style|nav|article|footer)[^>]*>"), F.lit(1))
-    return read(spark, sf_dir, "pages").select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
-
-
-@query("SELECT page_id, regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS script FROM pages")
-def script_inner(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<script[^>]*>(.*?)</script>", 1).alias("script"))
-
-
-@query("SELECT page_id, unnest(list_sort(list_distinct(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1)))) AS tag FROM pages")
-def template_tags(spark, sf_dir):
-    tags = F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9-]*)"), F.lit(1)))
-    return read(spark, sf_dir, "pages").select("page_id", F.explode(tags).alias("tag"))
-
-
-@query("SELECT doc_id, 'http' AS word, CAST(length(regexp_replace(split_part(text, 'MIT', 1), '[^\n]', '', 'g')) + 1 AS BIGINT) AS line FROM documents WHERE contains(text, 'MIT')".replace("'http' AS word", "'MIT' AS word"))
-def tag_line(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where(F.col("text").contains("MIT"))
-    return rows.select("doc_id", F.lit("MIT").alias("word"), F.size(F.split(F.substring_index("text", "MIT", 1), "\n")).cast("long").alias("line"))
-
-
-@query("SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1), '([A-Za-z_$][A-Za-z0-9_$]*)\\s*\\(', 1)) AS callee FROM pages")
-def call_expr_detect(spark, sf_dir):
-    script = F.regexp_extract("html", "(?s)<script[^>]*>(.*?)</script>", 1)
-    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(script, F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\("), F.lit(1))).alias("callee"))
-    return rows.where(T.matches_exact_or_glob(F.col("callee"), "*"))
+# names
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^red .*t$')")
@@ -301,53 +273,7 @@ def glob_match(spark, sf_dir):
     return read(spark, sf_dir, "part").where(T.matches_exact_or_glob(F.col("p_name"), "red *t")).select("p_partkey", "p_name")
 
 
-@query("SELECT p_partkey, p_brand FROM part WHERE contains(p_brand, 'd#1')")
-def member_detect(spark, sf_dir):
-    return read(spark, sf_dir, "part").where(T.matches_loosely(F.col("p_brand"), "d#1", escape=True)).select("p_partkey", "p_brand")
-
-
-@query("SELECT doc_id, tag, min(place) AS place FROM (SELECT doc_id, unnest(tags) AS tag, unnest(range(0, len(tags))) AS place FROM (SELECT doc_id, regexp_extract_all(text, '@([A-Za-z0-9_]+)', 1) AS tags FROM documents)) GROUP BY 1, 2")
-def annotation_extract(spark, sf_dir):
-    tags = F.regexp_extract_all("text", F.lit("@([A-Za-z0-9_]+)"), F.lit(1))
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(tags).alias("place", "tag"))
-    return rows.groupBy("doc_id", "tag").agg(F.min("place").cast("long").alias("place"))
-
-
-# normalised and fuzzy joins
-
-NORM = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
-
-
-@query(f"SELECT p_partkey, s_suppkey FROM part JOIN supplier ON {NORM.format('p_brand')} = 'brand' || s_suppkey")
-def name_normalise_join(spark, sf_dir):
-    named = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("BRAND-"), F.col("s_suppkey").cast("string")).alias("label"))
-    return joins.join_normalised(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), named, "p_brand", "label").select("p_partkey", "s_suppkey")
-
-
-@query(f"SELECT p_partkey, n_nationkey FROM part JOIN nation ON contains({NORM.format('p_brand')}, {NORM.format('n_name')}) OR contains({NORM.format('n_name')}, {NORM.format('p_brand')})".replace("n_nationkey FROM part JOIN nation", "k AS n_nationkey FROM part JOIN (SELECT n_nationkey AS k, 'Brand 1' || n_nationkey AS n_name FROM nation)"))
-def fuzzy_contains_join(spark, sf_dir):
-    named = read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Brand 1"), F.col("n_nationkey").cast("string")).alias("label"))
-    return joins.join_fuzzy(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.broadcast(named), "p_brand", "label").select("p_partkey", "n_nationkey")
-
-
-@query(f"""WITH u AS (SELECT l_orderkey * 10 + l_linenumber AS usage_id, min(l_partkey) AS pk FROM lineitem GROUP BY 1),
-    u2 AS (SELECT usage_id, p_name AS item_name, CASE usage_id % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'my' || p_brand ELSE 'zz' END AS store_name FROM u JOIN part ON pk = p_partkey),
-    i AS (SELECT p_partkey AS item_id, p_name AS item_name, p_brand AS store_name, {NORM.format('p_name')} AS k, count(*) OVER (PARTITION BY {NORM.format('p_name')}) AS n FROM part WHERE p_partkey % 20 = 0),
-    m AS (SELECT usage_id, item_id, CASE WHEN {NORM.format('u2.store_name')} = {NORM.format('i.store_name')} THEN 0 WHEN contains({NORM.format('u2.store_name')}, {NORM.format('i.store_name')}) OR contains({NORM.format('i.store_name')}, {NORM.format('u2.store_name')}) THEN 1 WHEN n = 1 THEN 2 END AS kind FROM u2 JOIN i ON {NORM.format('u2.item_name')} = i.k)
-    SELECT usage_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY usage_id ORDER BY kind, item_id) AS r FROM m WHERE kind IS NOT NULL) WHERE r = 1""")
-def rank_exact_fuzzy_sole(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("usage_id")).agg(F.min("l_partkey").alias("p_partkey"))
-    part = read(spark, sf_dir, "part")
-    store = F.when(F.col("usage_id") % 3 == 0, F.col("p_brand")).when(F.col("usage_id") % 3 == 1, F.concat(F.lit("my"), F.col("p_brand"))).otherwise("zz")
-    usages = lines.join(part, "p_partkey").select("usage_id", F.col("p_name").alias("item_name"), store.alias("store_name"))
-    items = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"), F.col("p_brand").alias("store_name"), F.col("p_partkey").alias("ordinal"))
-    return joins.rank_stores(usages, items)
-
-
-@query("SELECT e.event_id, c.channel FROM events e JOIN (VALUES ('CLI-CK'), ('pur_chase'), ('Err-or')) AS c(channel) ON regexp_replace(lower(c.channel), '[-_]', '', 'g') = regexp_replace(lower(e.event_type), '[-_]', '', 'g')")
-def channel_normalise_join(spark, sf_dir):
-    channels = spark.createDataFrame([("CLI-CK",), ("pur_chase",), ("Err-or",)], "channel string").withColumn("k", T.normal_channel(F.col("channel")))
-    return read(spark, sf_dir, "events").withColumn("k", T.normal_channel(F.col("event_type"))).join(F.broadcast(channels), "k").select("event_id", "channel")
+# JSON
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -361,31 +287,6 @@ def json_hide_private(spark, sf_dir):
     return rows.select("id", F.explode(T.visible_properties(F.col("properties"))).alias("property", "value"))
 
 
-@query("""SELECT 'item' AS section, 'part:' || p_partkey AS id FROM part WHERE p_name = 'red plate'
-    UNION ALL SELECT 'usage', 'order:' || l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name = 'red plate')
-    UNION ALL SELECT 'property', 'part:' || p_partkey FROM part WHERE contains(p_name, 'red') AND p_name <> 'red plate'""")
-def trace_usage(spark, sf_dir):
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    exact = part.where("p_name = 'red plate'")
-    used = read(spark, sf_dir, "lineitem").join(exact, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(ident("order", "l_orderkey").alias("id")).distinct()
-    named = part.where(F.col("p_name").contains("red") & (F.col("p_name") != "red plate"))
-    parts = [exact.select(F.lit("item").alias("section"), ident("part", "p_partkey").alias("id")), used.select(F.lit("usage").alias("section"), "id"), named.select(F.lit("property").alias("section"), ident("part", "p_partkey").alias("id"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-@query("""WITH s AS (SELECT page_id, split_part(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '/', 2) AS parent, split_part(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '/', 3) AS child FROM pages)
-    SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '/' || child ELSE '/' || parent || '/' || child END AS full_path FROM s""")
-def route_full_path(spark, sf_dir):
-    parts = F.split(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://", ""), "/")
-    child = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("/"), parts[2])).otherwise(parts[2])
-    return read(spark, sf_dir, "pages").select("page_id", T.route_path(F.concat(F.lit("/"), parts[1], F.lit("/")), child).alias("full_path"))
-
-
-@query("SELECT page_id, url FROM pages WHERE contains(lower(concat_ws(' ', url, '/de/x')), 'blog') ORDER BY page_id LIMIT 50")
-def route_filter(spark, sf_dir):
-    return read(spark, sf_dir, "pages").where(F.lower(F.concat_ws(" ", "url", F.lit("/de/x"))).contains("blog")).select("page_id", "url").orderBy("page_id").limit(50)
-
-
 # drawing
 
 
@@ -433,8 +334,16 @@ def short_paths(spark, sf_dir):
 
 @query()
 def layout_force(spark, sf_dir):
-    nodes, edges = tables.nodes(spark, sf_dir, ("region", "nation", "supplier")), tables.edges(spark, sf_dir, SMALL_RELATIONS).where("src_label <> 'customer'")
-    return layout.force_layout(nodes, edges, rounds=10)
+    """The whole graph, all rounds."""
+    return layout.force_layout(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir))
+
+
+@query()
+def layout_apart(spark, sf_dir):
+    """Suppliers and nations, each as large as its degree says, laid out and pushed apart."""
+    nodes, edges = tables.nodes(spark, sf_dir, ("nation", "supplier")), tables.edges(spark, sf_dir, ("in_nation",)).where("src_label = 'supplier'")
+    placed = layout.force_layout(nodes, edges).join(layout.sizes(nodes, edges).select("id", "size"), "id")
+    return layout.spread_apart(placed)
 
 
 # Cypher
@@ -504,30 +413,17 @@ def stream_edge_counts(spark, sf_dir):
 
 
 def _scripts(spark, sf_dir) -> DataFrame:
-    script = F.regexp_extract("html", "(?s)<script[^>]*>(.*?)</script>", 1)
-    rows = read(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("path"), script.alias("content"))
-    return rows.select("path", F.col("path").alias("rel_path"), "content", F.lit("page").alias("entity_type"))
+    """Every script block of every page as a file."""
+    scripts = F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.posexplode(scripts).alias("k", "content"))
+    path = F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("k").cast("string"), F.lit(".js"))
+    return rows.select(path.alias("path"), path.alias("rel_path"), "content", F.lit("page").alias("entity_type"))
+
 
+SCRIPTS = "SELECT page_id || '-' || k || '.js' AS path, s[k + 1] AS script FROM (SELECT page_id, s, unnest(range(0, len(s))) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS s FROM pages))"
 
-@query(r"SELECT page_id || '.js' AS path, 'track' AS callee, regexp_extract(html, 'track\(([0-9]+)\)', 1) AS argument FROM pages")
+
+@query(rf"SELECT path, 'track' AS callee, regexp_extract(script, 'track\(([0-9]+)\)', 1) AS argument FROM ({SCRIPTS}) WHERE regexp_matches(script, 'track\([0-9]+\)')")
 def scan_calls(spark, sf_dir):
     calls = detectors.detect(fact_table(_scripts(spark, sf_dir)), "call_expression", "tr*k")
     return calls.select("path", F.col("name").alias("callee"), F.element_at("args", 1).alias("argument"))
-
-
-@query("SELECT page_id || '.js' AS path, 'unknown' AS api_mode, CAST(false AS BOOLEAN) AS has_default FROM pages")
-def scan_properties(spark, sf_dir):
-    found = of(fact_table(_scripts(spark, sf_dir)), "properties")
-    return found.select("path", F.get_json_object("text", "$.apiMode").alias("api_mode"), (F.get_json_object("text", "$.hasDefaultExport") == "true").alias("has_default"))
-
-
-@query("""WITH f AS (SELECT doc_id, source, 'f' || (doc_id % 50) AS name, doc_id % 300 AS start_line, doc_id % 300 + n_chars // 100 AS end_line FROM documents),
-    r AS (SELECT 'src' || (o_orderkey % 20) AS source, o_orderkey % 600 AS low, o_orderkey % 600 + 2 AS high, o_orderkey AS ordinal FROM orders WHERE o_orderkey < 300),
-    m AS (SELECT f.source, f.name, f.doc_id, row_number() OVER (PARTITION BY f.source, f.name ORDER BY r.ordinal, f.start_line, f.doc_id) AS k FROM f JOIN r ON f.source = r.source AND low <= end_line AND high >= start_line)
-    SELECT source, name, 'f:' || doc_id AS id FROM m WHERE k = 1""")
-def changed_functions(spark, sf_dir):
-    start = F.col("doc_id") % 300
-    functions = read(spark, sf_dir, "documents").select(ident("f", "doc_id").alias("id"), F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.col("lang").alias("kind"), F.col("source").alias("file_path"), start.alias("start_line"), (start + F.floor(F.col("n_chars") / 100)).alias("end_line"), start.alias("file_start_line"))
-    key = F.col("o_orderkey")
-    ranges = read(spark, sf_dir, "orders").where("o_orderkey < 300").select(F.concat(F.lit("src"), (key % 20).cast("string")).alias("file_path"), (key % 600).alias("low"), (key % 600 + 2).alias("high"), key.alias("ordinal"))
-    return diff.changed_functions(ranges, functions).select(F.col("file_path").alias("source"), "name", "id")

@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import diff, graph, joins, layout, traverse
 from skein.plans.cypher import Catalog, CypherError, cypher
@@ -69,13 +71,9 @@ def test_binned_overlap_equals_nested_loop(spark):
     want = sorted((i, j) for i, low, high in a if low <= high for j, s, e in b if low <= e and high >= s)
     ranges = spark.createDataFrame([x for x in a if x[1] <= x[2]], "r long, low long, high long")
     spans = spark.createDataFrame(b, "s long, start_line long, end_line long")
-    assert rows(joins.overlaps_binned(ranges, spans, 16), "r", "s") == want
-
-
-def test_rank_stores(spark):
-    usages = spark.createDataFrame([(1, "total", "Cart"), (2, "total", "myCartStore"), (3, "total", None), (4, "only", "zzz"), (5, "none", "Cart")], "usage_id int, item_name string, store_name string")
-    items = spark.createDataFrame([("a", "total", "user", 0), ("b", "Total", "cart", 1), ("c", "only", "user", 2)], "item_id string, item_name string, store_name string, ordinal int")
-    assert rows(joins.rank_stores(usages, items), "usage_id", "item_id") == [(1, "b"), (2, "b"), (4, "c")]
+    assert rows(joins.overlaps(ranges, spans, [], 16), "r", "s") == want
+    keyed = joins.overlaps(ranges.withColumn("k", F.col("r") % 3), spans.withColumn("k", F.col("s") % 3), ["k"], 8)
+    assert rows(keyed, "r", "s") == [(i, j) for i, j in want if i % 3 == j % 3]
 
 
 def test_resolve_prefers_the_first_suffix(spark):
@@ -126,9 +124,117 @@ def test_as_of(spark):
 
 
 def test_spread_apart(spark):
-    placed = spark.createDataFrame([("a", 1.0, 1.0, 4.0), ("b", 1.0, 1.0, 4.0), ("c", 60.0, 60.0, 4.0)], "id string, x double, y double, size double")
-    at = {r["id"]: (r["x"], r["y"]) for r in layout.spread_apart(placed).collect()}
-    assert abs(at["a"][0] - at["b"][0]) >= 2 * (4 * 1.05 + 3) - 1e-6 and at["c"] == (60.0, 60.0)
+    """Pairs in order, all of them, against the rule written out."""
+    draw = random.Random(4)
+    rows_ = [(f"n{k:02}", draw.uniform(0, 60), draw.uniform(0, 60), draw.uniform(2, 9)) for k in range(40)]
+    p, r = [list(x[1:3]) for x in rows_], [x[3] * 1.05 + 3 for x in rows_]
+    for _ in range(15):
+        moved = False
+        for i in range(40):
+            for j in range(i + 1, 40):
+                dx, dy = p[i][0] - p[j][0], p[i][1] - p[j][1]
+                far = math.hypot(dx, dy)
+                if 0.01 < far < r[i] + r[j]:
+                    push = (r[i] + r[j] - far) / 2 / far
+                    p[i] = [p[i][0] + dx * push, p[i][1] + dy * push]
+                    p[j] = [p[j][0] - dx * push, p[j][1] - dy * push]
+                    moved = True
+        if not moved:
+            break
+    got = {x["id"]: (x["x"], x["y"]) for x in layout.spread_apart(spark.createDataFrame(rows_, "id string, x double, y double, size double")).collect()}
+    assert all(math.isclose(a, b, abs_tol=1e-6) for k, x in enumerate(rows_) for a, b in zip(got[x[0]], p[k]))
+
+
+def naive_forces(p, edges, s):
+    """The rule of a round, pair by pair."""
+    n = len(p)
+    weight, degree = {}, [0] * n
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            weight[x, y] = weight.get((x, y), 0) + 1
+            degree[x] += 1
+    for _ in range(s.rounds):
+        cells = [(math.floor(x / 100), math.floor(y / 100)) for x, y in p]
+        move = [[0.0, 0.0] for _ in p]
+        for i in range(n):
+            for j in range(i + 1, n):
+                if n <= 200 or max(abs(cells[i][0] - cells[j][0]), abs(cells[i][1] - cells[j][1])) <= 1:
+                    dx, dy = p[i][0] - p[j][0], p[i][1] - p[j][1]
+                    d2 = max(dx * dx + dy * dy, 1.0)
+                    f = s.repulsion / d2 / math.sqrt(d2)
+                    for k, d in ((0, dx), (1, dy)):
+                        move[i][k] += f * d
+                        move[j][k] -= f * d
+        for i in range(n):
+            out = math.hypot(*p[i]) or 1.0
+            for k in (0, 1):
+                move[i][k] -= s.gravity * p[i][k] / out
+        for (a, b), w in weight.items():
+            for k in (0, 1):
+                move[a][k] += w / degree[a] * (p[b][k] - p[a][k])
+        longest = 0.0
+        for i in range(n):
+            m = math.hypot(*move[i])
+            longest = max(longest, m)
+            if m > 0:
+                p[i] = [p[i][k] + move[i][k] * min(m / s.slow, 10) / m for k in (0, 1)]
+        if longest < 0.1:
+            break
+    return p
+
+
+@pytest.mark.parametrize(("n", "rounds"), [(12, 25), (230, 6)])
+def test_layout_by_brute_force(spark, n, rounds):
+    draw = random.Random(n)
+    edges = [(draw.randrange(n), draw.randrange(n)) for _ in range(2 * n)]
+    nodes = spark.createDataFrame([(f"n{k:03}",) for k in range(n)], "id string")
+    links = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges] + [("n000", "nowhere")], "src string, dst string")
+    at = {r["id"]: [r["x"], r["y"]] for r in layout.beginning(nodes, n).collect()}
+    s = layout.settings_for(n)
+    want = naive_forces([at[f"n{k:03}"] for k in range(n)], edges, s._replace(rounds=rounds))
+    got = {r["id"]: (r["x"], r["y"]) for r in layout.force_layout(nodes, links, rounds).collect()}
+    assert all(math.isclose(a, b, abs_tol=1e-4) for k in range(n) for a, b in zip(got[f"n{k:03}"], want[k]))
+
+
+def test_layout_in_rounds_of_joins(spark, monkeypatch):
+    """Nodes far from each other move alike, whichever way does it; only one task looks at pairs that far apart."""
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(8)], "id string")
+    links = spark.createDataFrame([("n0", "n1"), ("n1", "n2"), ("n5", "n6")], "src string, dst string")
+    monkeypatch.setattr(layout, "beginning", lambda nodes, n: nodes.withColumns({"x": (F.substring("id", 2, 1).cast("double") - 4.3) * 400, "y": F.lit(50.0)}))
+    one = {r["id"]: (r["x"], r["y"]) for r in layout.force_layout(nodes, links, 3).collect()}
+    monkeypatch.setattr(layout, "ONE_TASK", 0)
+    many = {r["id"]: (r["x"], r["y"]) for r in layout.force_layout(nodes, links, 3).collect()}
+    assert one.keys() == many.keys() and all(math.isclose(a, b, abs_tol=1e-3) for k in one for a, b in zip(one[k], many[k]))
+
+
+def test_earlier_relations_win(spark):
+    """Of one pair of files and relation, the first detector's first match, then the configuration before the plugin."""
+    from skein.operators import edges as E
+    from skein.operators.build import assemble
+    from skein.plans.plugins import Base, Detection, Registry
+    from skein.sources.config import Config, Relationship
+
+    class Late(Base):
+        name = "late"
+
+        def detect(self, listing, folder):
+            return Detection(True, 1.0, [])
+
+        def after(self, facts, entities, items):
+            return [spark.createDataFrame([("/a/src/use.js", "/a/src/goods.js", "asks", '{"line":99}')], "src string, dst string, rel_type string, properties string")]
+
+    text = "const a = one()\nconst goods = 1\ngoods()\ngoodsAll()\ngoods()\n"
+    listing = spark.createDataFrame([("/a/src/use.js", "use.js", text, len(text)), ("/a/src/goods.js", "goods.js", "x()", 3)], "path string, rel_path string, content string, length long")
+    relations = {"asks": Relationship("use", "goods", [("call_expression", "goodsAll"), ("call_expression", "goods")])}
+    config = Config("a", "/a/src", {"use": ["use.js"], "goods": ["goods.js"]}, {}, relations)
+    registry = Registry()
+    registry.register(Late())
+    for found in (assemble(listing, config, registry).edges, assemble(listing, config).edges):
+        assert [r["properties"] for r in found.where("rel_type = 'asks'").collect()] == ['{"line":4,"evidence":"goodsAll"}']
+    entities = spark.createDataFrame([("/m/goods.js", "", "mixin", 0), ("/c/Card.vue", "Tag", "component", 1)], "path string, name string, entity_type string, ordinal int")
+    facts = spark.createDataFrame([("/p.vue", 7, "mixin", "Goods", 1), ("/p.vue", 3, "mixin", "goods", 1), ("/p.vue", 9, "tag", "card", 5), ("/p.vue", 8, "tag", "tag", 6)], "path string, ordinal int, fact string, name string, line int")
+    assert [r["properties"] for r in E.mixins(facts, entities).collect()] == ['{"mixin":"goods"}']
+    assert [r["properties"] for r in E.components(facts, entities).collect()] == ['{"tag":"tag","line":6}']
 
 
 def test_schema(spark):

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from skein import project_queries, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -22,13 +23,7 @@ def plain(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else str(v)
 
 
-def engine_queries():
-    from skein import queries
-
-    return queries
-
-
-@pytest.mark.parametrize("name", list(engine_queries().ORACLES))
+@pytest.mark.parametrize("name", [*queries.ORACLES, *project_queries.ORACLES])
 def test_oracle(spark, oracle, sf_dir, name):
     df = entry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
