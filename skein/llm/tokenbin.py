@@ -79,9 +79,12 @@ def sequences(docs: DataFrame, path: str, length: int, end_id: int, id_col: str,
 
 
 def ordered(docs: DataFrame, place: str, path: str, key: str, length: int, per_shard: int, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """The sequences, written once to ``place``, with their slots, range-partitioned by shard and sorted by slot; their number."""
+    """The sequences, written once to ``place``, with their slots, range-partitioned by shard and sorted by slot; their number.
+
+    The ids of the rows that come back are compressed.
+    """
     spark = docs.sparkSession
-    sequences(docs, path, length, end_id, id_col, text_col).write.option("compression", "zstd").parquet(place)
+    sequences(docs, path, length, end_id, id_col, text_col).write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}).parquet(place)
     found = spark.read.parquet(place)
     sizes = {r["part"]: r["n"] for r in found.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number an input partition
     before, total = np.zeros(max(sizes, default=-1) + 1, np.int64), 0
@@ -93,7 +96,8 @@ def ordered(docs: DataFrame, place: str, path: str, key: str, length: int, per_s
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index = before[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(feistel(index, total, key)), *(batch.column(k) for k in range(2, 6))], ["slot", "doc_id", "start", "n", "ids"])
+            packed = pa.array([zlib.compress(x, 1) for x in batch.column(5).to_pylist()], pa.binary())  # the shuffle's own codec finds nothing in ids
+            yield pa.RecordBatch.from_arrays([pa.array(feistel(index, total, key)), *(batch.column(k) for k in range(2, 5)), packed], ["slot", "doc_id", "start", "n", "ids"])
 
     placed = found.mapInArrow(released(slots), "slot long, doc_id long, start long, n long, ids binary")
     shards = -(-total // per_shard)
@@ -131,7 +135,7 @@ def write_order(docs: DataFrame, out: str, path: str | None = None, key: str = "
         for batch in slices(batches, rows=2048):
             slots = batch.column(0).to_numpy()
             about = np.stack([pc.fill_null(batch.column(k), NO_ID).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], axis=1).astype("<i8")
-            for k, (slot, ids) in enumerate(zip(slots.tolist(), batch.column(4).to_pylist())):
+            for k, (slot, ids) in enumerate(zip(slots.tolist(), map(zlib.decompress, batch.column(4).to_pylist()))):
                 if slot // per_shard != current:
                     if shard:
                         shard.finish()
