@@ -2,7 +2,10 @@
 
     MATCH (a:Label {key: 'v'})-[r:TYPE]->(b:Label), (b)<-[:TYPE*1..3]-(c)  MATCH ...
     WHERE a.x = 'v' AND NOT b.name CONTAINS 'w' OR ...
+    OPTIONAL MATCH ... WHERE ...
+    WITH a, count(*) AS n WHERE n > 1  MATCH (a)-[]->(d) ...
     RETURN [DISTINCT] a.x AS x, type(r), count(*), collect(b.name)  ORDER BY x DESC  SKIP n  LIMIT n
+    UNION [ALL] ...
 
 Nodes become scans of their label's table, relations become joins with the edge table; conditions are filters that the
 optimizer moves to the scans. A relation of variable length gives one row for each length and pair of ends. Values are
@@ -17,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.plans.lineage import cut
+
 TOKEN = re.compile(r"""\s*(?:(?P<string>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>\d+(?:\.\d+)?(?!\.\d)|\d+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*|`[^`]+`)|(?P<op><>|<=|>=|\.\.|->|<-|[-=<>()\[\]{},:.*|]))""")
 AGGREGATES = {"count", "collect", "min", "max", "sum", "avg"}
 
@@ -49,8 +54,9 @@ def tokenise(text: str) -> list[tuple[str, str]]:
 
 
 class Query:
-    def __init__(self, catalog: Catalog, text: str):
-        self.catalog, self.tokens, self.at = catalog, tokenise(text), 0
+    def __init__(self, catalog: Catalog, tokens: list[tuple[str, str]]):
+        self.catalog, self.tokens, self.at = catalog, tokens, 0
+        self.values: set[str] = set()  # columns that WITH has made
         self.rows: DataFrame | None = None
         self.nodes: dict[str, list[str]] = {}
         self.relations: dict[str, list[str]] = {}
@@ -187,10 +193,10 @@ class Query:
             var, types, low, high, back = self.relation()
             right, label, wanted = self.node()
             edges = self.catalog.edges.where(F.col("rel_type").isin(types)) if types else self.catalog.edges
+            near, far = ("dst", "src") if back else ("src", "dst")
             if high > 1:
-                edges = paths(edges, low, high)
+                edges = paths(edges, low, high, self.rows.select(F.col(f"{left}.id").alias(near)).distinct(), near, far)
             self.relations[var] = edges.columns
-            near, far = ("dst", "src") if back else ("src", "dst")
             self.join(edges.select(F.struct(*edges.columns).alias(var)), F.col(f"{left}.id") == F.col(f"{var}.{near}"))
             self.bind(right, label, wanted, F.col(f"{var}.{far}") == F.col(f"{right}.id"))
             left = right
@@ -211,7 +217,7 @@ class Query:
                 return inner
             if self.take("."):
                 return self.column(name, self.next("name"))
-            if name in self.nodes or name in self.relations:
+            if name in self.nodes or name in self.relations or name in self.values:
                 return F.col(name)
             raise CypherError(f"unknown variable {name}")
         return F.lit(self.value())
@@ -279,15 +285,54 @@ class Query:
         text = "".join(t for _, t in self.tokens[start : self.at])
         return (self.next("name") if self.take("AS") else text), column, aggregate
 
+    def match(self) -> None:
+        self.pattern()
+        while self.take(","):
+            self.pattern()
+        if self.take("WHERE"):
+            self.rows = self.rows.where(self.either())
+
+    def optional(self) -> None:
+        """Rows that the patterns don't match, their conditions included, stay with nulls for what is new."""
+        if self.rows is None:
+            raise CypherError("OPTIONAL MATCH needs a MATCH before it")
+        row, known = self.unnamed(), self.rows.columns
+        base = cut(self.rows.withColumn(row, F.monotonically_increasing_id()))  # read twice, with the same numbers
+        self.rows = base
+        self.match()
+        new = [c for c in self.rows.columns if c not in known and c != row]
+        self.rows = base.join(self.rows.select(row, *new), row, "left").select(*known, *new)
+
+    def project(self) -> None:
+        """What WITH lets through: variables as they are, other values by name, grouped if one of them is an aggregate."""
+        distinct, kept = self.take("DISTINCT"), []
+        while True:
+            bare = self.tokens[self.at][1] if self.tokens[self.at + 1 : self.at + 2] not in ([("op", ".")], [("op", "(")]) else None
+            kept.append((self.item(), bare))
+            if not self.take(","):
+                break
+        keys, rest = [c.alias(n) for (n, c, a), _ in kept if not a], [c.alias(n) for (n, c, a), _ in kept if a]
+        self.rows = self.rows.groupBy(*keys).agg(*rest) if rest else self.rows.select(*keys)
+        self.rows = self.rows.distinct() if distinct else self.rows
+        source = {n: bare for (n, *_), bare in kept}
+        self.nodes, self.relations = ({n: known[b] for n, b in source.items() if b in known} for known in (self.nodes, self.relations))
+        self.values = {n for n in source if n not in self.nodes and n not in self.relations}
+        if self.take("WHERE"):
+            self.rows = self.rows.where(self.either())
+
     def run(self) -> DataFrame:
         if not self.peek("MATCH"):
             raise CypherError("a query begins with MATCH")
-        while self.take("MATCH"):
-            self.pattern()
-            while self.take(","):
-                self.pattern()
-            if self.take("WHERE"):
-                self.rows = self.rows.where(self.either())
+        while True:
+            if self.take("MATCH"):
+                self.match()
+            elif self.take("OPTIONAL"):
+                self.need("MATCH")
+                self.optional()
+            elif self.take("WITH"):
+                self.project()
+            else:
+                break
         self.need("RETURN")
         distinct = self.take("DISTINCT")
         items = [self.item()]
@@ -342,12 +387,16 @@ class Query:
         return out
 
 
-def paths(edges: DataFrame, low: int, high: int) -> DataFrame:
-    """(src, dst, rel_type, length): the pairs of ends that ``low`` to ``high`` edges join, once for each length."""
+def paths(edges: DataFrame, low: int, high: int, starts: DataFrame, near: str, far: str) -> DataFrame:
+    """(src, dst, rel_type, length): the pairs of ends that ``low`` to ``high`` edges join, once for each length.
+
+    Paths grow level by level from ``starts``, the nodes that the pattern has bound at their ``near`` end.
+    """
     step = edges.select("src", "dst").distinct()
-    now, found = step, step.withColumn("length", F.lit(1)) if low == 1 else None
-    for k in range(2, high + 1):
-        now = now.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+    now, found = step.join(starts, near, "left_semi").select("src", "dst"), None
+    for k in range(1, high + 1):
+        if k > 1:
+            now = now.withColumnRenamed(far, "mid").join(step.withColumnRenamed(near, "mid"), "mid").select("src", "dst").distinct()
         if k >= low:
             part = now.withColumn("length", F.lit(k))
             found = part if found is None else found.unionByName(part)
@@ -355,4 +404,20 @@ def paths(edges: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def cypher(catalog: Catalog, text: str) -> DataFrame:
-    return Query(catalog, text).run()
+    """The rows that a query returns; parts joined by UNION are told apart by name and, without ALL, lose repeated rows."""
+    parts, joins = [[]], []
+    for token in tokenise(text):
+        if token[0] == "name" and token[1].upper() == "UNION":
+            parts.append([])
+            joins.append(False)
+        elif token[0] == "name" and token[1].upper() == "ALL" and len(parts) > 1 and not parts[-1]:
+            joins[-1] = True
+        else:
+            parts[-1].append(token)
+    out, *others = [Query(catalog, tokens).run() for tokens in parts]
+    for other, every in zip(others, joins):
+        if sorted(other.columns) != sorted(out.columns):
+            raise CypherError("parts of a UNION return the same names")
+        out = out.unionByName(other)
+        out = out if every else out.distinct()
+    return out

@@ -227,7 +227,7 @@ SQL_TOKENS = "list_filter(flatten(list_transform(list_filter(regexp_split_to_arr
 
 @query(f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({SQL_TOKENS.format('text')}) AS token FROM documents) GROUP BY token")
 def tokenize_df(spark, sf_dir):
-    return search.frequencies(search.postings(read(spark, sf_dir, "documents")))
+    return search.frequencies(read(spark, sf_dir, "documents"))
 
 
 def _tfidf_sql(corpus: str, terms: list[str]) -> str:

@@ -104,6 +104,11 @@ def small(spark):
         ("MATCH (p:Person) RETURN p.name AS n ORDER BY n DESC SKIP 1 LIMIT 1", [("Bo",)]),
         ("MATCH (p:Person) RETURN p.name AS n ORDER BY p.age DESC LIMIT 1", [("Bo",)]),
         ("MATCH (p:Person), (c:City {name: 'Oslo'}) RETURN DISTINCT c.name AS c", [("Oslo",)]),
+        ("MATCH (c:City) OPTIONAL MATCH (p:Person)-[:LIVES]->(c) WHERE p.name <> 'Ann' RETURN c.name AS c, count(p.id) AS n", [("Oslo", 0), ("Rome", 1)]),
+        ("MATCH (p:Person)-[:LIVES]->(c:City) WITH c, count(*) AS n WHERE n > 1 RETURN c.name AS c, n AS n", [("Rome", 2)]),
+        ("MATCH (p:Person)-[:LIVES]->(c:City) WITH c, count(*) AS n MATCH (q:Person)-[:LIVES]->(c) WHERE n = 2 RETURN q.name AS q", [("Ann",), ("Bo",)]),
+        ("MATCH (p:Person) RETURN p.name AS n UNION MATCH (p:Person)-[:LIVES]->(c:City) RETURN p.name AS n", [("Ann",), ("Bo",), ("Cy",)]),
+        ("MATCH (c:City) RETURN c.name AS n UNION ALL MATCH (c:City {name: 'Rome'}) RETURN c.name AS n", [("Oslo",), ("Rome",), ("Rome",)]),
     ],
 )
 def test_cypher(small, text, want):
@@ -111,7 +116,7 @@ def test_cypher(small, text, want):
     assert sorted(got) == want
 
 
-@pytest.mark.parametrize("text", ["RETURN 1", "MATCH (p:Nobody) RETURN p.id", "MATCH (p:Person) RETURN p.shoe", "MATCH (p:Person", "MATCH (p:Person) WHERE p.name ~ 'x' RETURN p.id", "MATCH (a:Person)-[*1..9]->(b) RETURN a.id"])
+@pytest.mark.parametrize("text", ["RETURN 1", "MATCH (p:Nobody) RETURN p.id", "MATCH (p:Person) RETURN p.shoe", "MATCH (p:Person", "MATCH (p:Person) WHERE p.name ~ 'x' RETURN p.id", "MATCH (a:Person)-[*1..9]->(b) RETURN a.id", "OPTIONAL MATCH (a:Person) RETURN a.id", "MATCH (a:Person) RETURN a.id AS x UNION MATCH (a:Person) RETURN a.id AS y"])
 def test_cypher_errors(small, text):
     with pytest.raises((CypherError, IndexError)):
         cypher(small, text)
