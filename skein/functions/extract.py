@@ -25,6 +25,7 @@ CONTENT = 300
 TAG = re.compile(r"<(/?)\s*(template|script|style)\b([^>]*)>", re.I)
 TEMPLATE_TAG = re.compile(r"<\s*([A-Za-z][A-Za-z0-9_.:-]*)\b")
 ANNOTATION = re.compile(r"@(\w+(?:-\w+)*)\s*:?\s*(\S[^\n]*?(?=\s*@|\s*\*/|\s*\n\s*\*/|\n\s*$|$))", re.M | re.A)
+LANG = re.compile(r"\blang\s*=\s*[\"']?(\w+)")
 LAZY = re.compile(r"import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)")
 
 
@@ -77,6 +78,12 @@ def main_script(found: list[Block]) -> Block | None:
     return next((b for b in scripts if "setup" in b.attributes), scripts[0] if scripts else None)
 
 
+def language(path: str, attributes: str) -> str:
+    """``ts`` by the script's own attribute or the file's ending, else ``js``."""
+    own = LANG.search(attributes)
+    return "ts" if own and own[1] in ("ts", "tsx") or path.lower().endswith((".ts", ".tsx")) else "js"
+
+
 def inner(block: Block) -> str:
     """A block's text between its tags."""
     first, last = block.text.find(">"), block.text.rfind("</")
@@ -84,7 +91,7 @@ def inner(block: Block) -> str:
 
 
 def extract(path: str, content: str, entity_type: str) -> Iterator[Fact]:
-    """Every fact of a file, and at the end the entity's properties. Lines are those of the script; ``script`` says where that begins."""
+    """Every fact of a file, and at the end the entity's properties. Lines are those of the script; ``script`` says where that begins and its language."""
     found = list(_extract(path, content, entity_type))
     yield from found
     yield Fact("properties", text=json.dumps(properties(found, entity_type), ensure_ascii=False))
@@ -132,7 +139,9 @@ def _extract(path: str, content: str, entity_type: str) -> Iterator[Fact]:
     offset = content.count("\n", 0, script.inner) if script else 0
     source = Source(code)
     facts = source.facts()
-    yield Fact("script", line=offset)
+    yield Fact("script", language(path, script.attributes if script else ""), line=offset)
+    if template := next((b for b in found if b.kind == "template"), None):
+        yield Fact("template", text=template.text)
     for x in facts.imports:
         yield Fact("import", x.source, args=x.names, flag=x.is_default, line=x.line)
     for kind, calls in (("call", facts.calls), ("new", facts.news)):

@@ -38,8 +38,14 @@ def annotation(facts: DataFrame, pattern: str = "*") -> DataFrame:
 
 
 def template_element(facts: DataFrame, pattern: str) -> DataFrame:
-    """Component tags that hold the pattern."""
-    return of(facts, "tag").where(F.col("name").contains(pattern) if pattern else F.lit(False)).select(*MATCH)
+    """Of the texts of a comma-separated list, those that stand in a file's template; ``full`` says how often."""
+    texts = [x.strip() for x in (pattern or "").split(",") if x.strip()]
+    found = of(facts, "template")
+    if not texts:
+        return found.select(*MATCH).limit(0)
+    each = found.drop("name", "full").withColumn("name", F.explode(F.array(*[F.lit(x) for x in texts])))
+    times = ((F.length("text") - F.length(F.replace("text", F.col("name"), F.lit("")))) / F.length("name")).cast("long")
+    return each.withColumn("full", times.cast("string")).where("full <> '0'").select(*MATCH)
 
 
 DETECTORS: dict[str, Callable[[DataFrame, str], DataFrame]] = {

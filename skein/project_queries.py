@@ -95,9 +95,10 @@ def project_entities(spark, sf_dir):
     return entities.select("path", "name", "entity_type", F.get_json_object("properties", "$.apiMode").alias("api_mode"))
 
 
-@query("SELECT path, 7 AS line FROM part_file UNION ALL SELECT path, 3 FROM card_file")
+@query("""SELECT path, 7 AS line, 'js' AS language FROM part_file UNION ALL SELECT path, 3, 'ts' FROM card_file UNION ALL SELECT DISTINCT path, 0, 'ts' FROM main_file UNION ALL SELECT '/app/src/preload/index.ts', 0, 'ts'
+    UNION ALL SELECT path, 0, 'js' FROM shop_file UNION ALL SELECT path, 0, 'js' FROM api_file UNION ALL SELECT path, 0, 'js' FROM mixin_file UNION ALL SELECT DISTINCT path, 0, 'js' FROM router_file""")
 def project_script_blocks(spark, sf_dir):
-    return of(_facts(spark, sf_dir), "script").where("path like '%.vue'").select("path", F.col("line").cast("int").alias("line"))
+    return of(_facts(spark, sf_dir), "script").select("path", F.col("line").cast("int").alias("line"), F.col("name").alias("language"))
 
 
 @query("""SELECT path, '../store/shop' || s AS source, 'useShop' || s || 'Store' AS names, false AS is_default FROM part_file UNION ALL SELECT path, '@/mixins/Nation' || n, 'Nation' || n, true FROM part_file
@@ -194,9 +195,9 @@ def detect_annotation(spark, sf_dir):
     return _detected("annotation", "since", "name", "full")(spark, sf_dir)
 
 
-@query("SELECT path, 'part-' || q AS name FROM part_file")
+@query("SELECT path, '<Card' AS name, '1' AS \"full\" FROM part_file UNION ALL SELECT path, '/>', '3' FROM part_file UNION ALL SELECT path, '</b>', '1' FROM card_file")
 def detect_template_element(spark, sf_dir):
-    return _detected("template_element", "part-", "name")(spark, sf_dir)
+    return _detected("template_element", "<Card, />, </b>, <svg", "name", "full")(spark, sf_dir)
 
 
 @query("SELECT path, 'defineProps' AS name, '[''size'']' AS argument FROM card_file")

@@ -78,7 +78,7 @@ MIXIN = """export default {
 CARD = """<template>
   <b>card</b>
 </template>
-<script setup>
+<script setup lang="ts">
 import { ref } from 'vue'
 const props = defineProps(['size'])
 const open = ref($n$)

@@ -145,7 +145,7 @@ def test_detectors(spark, root):
     assert found("import_statement", "pinia") == {"pinia"} and found("new_expression") == set()
     assert found("import_expression", "Price") == {"../components/PriceTag.vue"}
     assert "addItem" in found("member_expression", "basket.*") and "name" in found("export_default", "name, mixins")
-    assert {"owner", "since"} <= found("annotation") and found("template_element", "rice") == {"PriceTag", "price-tag"}
+    assert {"owner", "since"} <= found("annotation") and found("template_element", "rice, nowhere") == {"rice"} and not found("template_element", "")
     assert found("compiler_macro") == set() and detectors.detect(table, "nothing", "*") is None
 
 
