@@ -209,3 +209,8 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+def language_id_of_pages(spark, sf_dir: str) -> DataFrame:
+    """The operator on web pages: declared markup language, suffixes, and hosts smoothed to their domains."""
+    return identify(pages_as_documents(table(spark, sf_dir, "pages"))).withColumnRenamed("doc_id", "page_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skein.llm.bpe import op7_byte_bpe
 from skein.llm.embed_dedup import op2_embedding_dedup
-from skein.llm.langid import op1_language_id
+from skein.llm.langid import language_id_of_pages, op1_language_id
 from skein.llm.line_dedup import op6_line_dedup
 from skein.llm.packing import op4_packing
 from skein.llm.simhash import op5_simhash
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "language_id_of_pages": language_id_of_pages,  # the first operator again, where all its evidence acts
 }
 
 ORACLES = {

@@ -76,7 +76,7 @@ def test_run_equals_the_stages(spark, stages):
 
 
 def test_queries(spark):
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op")) == list(range(1, 11))
     for name, query in queries.QUERIES.items():
         assert query(spark, SF).count() > 0, name
 
