@@ -111,7 +111,9 @@ def hamming_links(fps: DataFrame, distance: int = 4, blocks: int | None = None,
     A key with n > ``tile`` fingerprints is split into ceil(n / tile) parts by hash; each pair of parts is a tile.
     """
     blocks = blocks or blocks_for(fps.count(), distance)
-    keys = fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key")).select("fp", "key.part", "key.bits")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fps.repartition(tasks, "fp")  # many rows come of each, so not in the few tasks that the table itself needs
+    keys = spread.select("fp", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key")).select("fp", "key.part", "key.bits")
     shared = keys.groupBy("part", "bits").count().where("count > 1")
     rows = keys.join(shared, ["part", "bits"]).withColumn("parts", F.ceil(F.col("count") / tile).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
