@@ -24,6 +24,9 @@ from skein.llm.common import BROADCAST_IDS, connected_components, cut, released,
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
+SIGNED = "key long, owner long, salt int"
+SAMPLE = 50_000  # documents in which very common keys are looked for
+HOT = 20_000  # keys of more rows are split over tasks
 
 
 def node_of(line: str) -> tuple[int, int]:
@@ -183,28 +186,53 @@ def _lines_of(batch: pa.RecordBatch, least: int) -> dict[int, str]:
     return {node_of(x)[0]: x for x in {line.strip() for text in batch.column(1).to_pylist() if text for line in text.split("\n")} if len(x) >= least}
 
 
-def near_keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """(key, node) for the keys that several different lines share; ``docs``: (doc_id, text)."""
+def _sign(edits: int, least: int, common):
+    """(doc_id, text) to (key, owner, salt) of all lines; rows of the keys in ``common`` go to tasks by salt."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, seen, known = Powers(), set(), common.value if common else None
         for batch in slices(batches, text=1):
             lines = {a: x for a, x in _lines_of(batch, least).items() if a not in seen}
             if lines:
                 if len(seen) < 200_000:
                     seen.update(lines)  # spares repeats of a common line, no more than that
                 keys, owners = signatures(list(lines.values()), np.array(list(lines), np.int64), edits, powers)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "owner"])
+                salt = np.zeros(len(keys), np.int32)
+                if known is not None:
+                    hot = _within(known, keys)
+                    salt[hot] = 1 + (owners[hot] >> 1) % 1_000_003
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners), pa.array(salt)], ["key", "owner", "salt"])
+
+    return run
+
+
+def _within(common: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+
+
+def common_keys(docs: DataFrame, edits: int, least: int):
+    """The keys that very many lines have, from a sample by hash; they only tell how rows are dealt to tasks."""
+    one_of = max(16, docs.count() // SAMPLE)
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(one_of)) == 0)
+    counted = drawn.mapInArrow(released(_sign(edits, least, None)), SIGNED).groupBy("key").agg(F.count("*").alias("n"))
+    found = counted.where(F.col("n") > max(8, HOT // one_of)).orderBy("key").toPandas()["key"].to_numpy(np.int64)
+    return docs.sparkSession.sparkContext.broadcast(found) if len(found) else None
+
+
+def near_keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """(key, node) for the keys that several different lines share; ``docs``: (doc_id, text)."""
+    common = common_keys(docs, edits, least)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows sorted by key, those whose key has more than one node. A run that goes on is held until it has two."""
+        """From rows sorted by key, those whose key has more than one node or is common. A run that goes on is held until it has two."""
+        known = common.value if common else None
         keys, owners, passed = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, owners = np.r_[keys, batch.column(0).to_numpy()], np.r_[owners, batch.column(1).to_numpy()]
             end = len(keys) if passed == keys[-1] else int(np.searchsorted(keys, keys[-1]))
-            yield from _shared(keys[:end], owners[:end], passed)
+            yield from _shared(keys[:end], owners[:end], passed, known)
             keys, owners = keys[end:], owners[end:]
             if len(keys):
                 passed = None
@@ -212,11 +240,12 @@ def near_keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
                 keys = np.full(len(owners), keys[0])
                 if len(np.unique(owners >> 1)) > 1:
                     passed = keys[0]
-                    yield from _shared(keys, owners, passed)
+                    yield from _shared(keys, owners, passed, known)
                     keys, owners = keys[:0], owners[:0]
-        yield from _shared(keys, owners, passed)
+        yield from _shared(keys, owners, passed, known)
 
-    signed = docs.mapInArrow(released(sign), "key long, owner long").repartition("key").sortWithinPartitions("key")
+    signed = docs.mapInArrow(released(_sign(edits, least, common)), SIGNED)
+    signed = signed.repartition("key", "salt").sortWithinPartitions("key").select("key", "owner")
     rows = signed.mapInArrow(released(shared), "key long, owner long")
     rows = rows.groupBy("key", F.col("owner").bitwiseAND(-2).alias("node")).agg(F.max(F.col("owner").bitwiseAND(1)).alias("index"))
     rows = cut(rows)
@@ -224,7 +253,7 @@ def near_keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
     return rows.join(good.select("key", "n"), "key").select("key", "node", "n")
 
 
-def _shared(keys: np.ndarray, owners: np.ndarray, passed) -> Iterator[pa.RecordBatch]:
+def _shared(keys: np.ndarray, owners: np.ndarray, passed, common: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     if len(keys):
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         starts, sizes = np.r_[0, cuts], np.diff(np.r_[0, cuts, len(keys)])
@@ -232,6 +261,8 @@ def _shared(keys: np.ndarray, owners: np.ndarray, passed) -> Iterator[pa.RecordB
         several = low != high
         if passed is not None:
             several |= keys[starts] == passed
+        if common is not None:
+            several |= _within(common, keys[starts])
         stay = np.repeat(several, sizes)
         if stay.any():
             yield pa.RecordBatch.from_arrays([pa.array(keys[stay]), pa.array(owners[stay])], ["key", "owner"])

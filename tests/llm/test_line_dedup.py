@@ -111,6 +111,18 @@ def test_a_key_that_many_lines_share_goes_through_tiles(spark):
     assert groups(got) == groups(want) and all(distance(nodes[a], nodes[b]) > 0 for a, b in got)
 
 
+def test_very_common_keys_go_to_many_tasks(spark, lines, monkeypatch):
+    """The same links, whether or not common keys are known beforehand."""
+    draw = random.Random(5)
+    head = "".join(draw.choice("abcdefgh") for _ in range(60))
+    texts = [edited(draw, head + "".join(draw.choice("stuvw") for _ in range(20)), draw.randint(0, 1)) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate([*texts, *lines])), "doc_id long, text string")
+    plain = groups([(r["src"], r["dst"]) for r in L.near_lines(df).collect()])
+    monkeypatch.setattr(L, "HOT", 9 * 16)
+    assert L.common_keys(df, 2, 20) is not None
+    assert groups([(r["src"], r["dst"]) for r in L.near_lines(df).collect()]) == plain
+
+
 def test_edges(spark, no_docs):
     assert L.dedup_lines(no_docs).count() == 0
     long = "a line of more than twenty characters"
