@@ -151,22 +151,37 @@ def test_feistel_permutes(n):
 
 def test_order_round_trip(docs, texts, tmp_path):
     out = f"file://{tmp_path}/order"
-    about = tokenbin.write_order(docs, out, length=64, per_shard=50)
+    about = tokenbin.write_order(docs, out, length=64, per_shard=10)
     rows = tokenbin.written_records(docs.sparkSession, out).collect()
-    assert len(list((tmp_path / "order").glob("shard-*.bin"))) == len(list((tmp_path / "order").glob("shard-*.idx"))) == -(-about["sequences"] // 50)
+    shards = sum(-(-n // 10) for n in about["ranges"])
+    assert len(list((tmp_path / "order").glob("shard-*.bin"))) == len(list((tmp_path / "order").glob("shard-*.idx"))) == shards > len(about["ranges"])
     assert sorted(r["slot"] for r in rows) == list(range(about["sequences"])) and len(rows) == about["sequences"]
     got = np.concatenate(list(tokenbin.read_order(out)))
     ids = {k: [*ids_of(t), tokenbin.END] for k, t in enumerate(texts)}
     for r in rows:
         record = got[r["slot"]]
         assert record[: r["length"]].tolist() == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
-        assert zlib.crc32(record.astype("<u2").tobytes()) == r["record_crc32"] and (r["shard"], r["byte_offset"]) == (r["slot"] // 50, r["slot"] % 50 * 128)
+        assert zlib.crc32(record.astype("<u2").tobytes()) == r["record_crc32"]
+        with open(tmp_path / "order" / f"{r['shard']}.bin", "rb") as f:
+            f.seek(r["byte_offset"])
+            assert f.read(128) == record.astype("<u2").tobytes()
     assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
-    resumed = np.concatenate(list(tokenbin.read_order(out, slot=117, rows=9)))
-    assert (resumed == got[117:]).all()
+    for slot in (0, 1, 117, about["ranges"][0], about["sequences"] - 1):
+        assert (np.concatenate(list(tokenbin.read_order(out, slot=slot, rows=9))) == got[slot:]).all()
+    assert not list(tokenbin.read_order(out, slot=about["sequences"]))
     assert json.loads((tmp_path / "order/order.json").read_text()) == about and not list((tmp_path / "order").glob("_partial*"))
 
 
+def test_slots_are_ranks_of_feistel_images(spark, docs, texts, tmp_path):
+    """The order is that of the images of the sequences' places in the input."""
+    tokenbin.write_order(docs.coalesce(1), f"{tmp_path}/order", key="k", length=64)
+    every = [(k, s) for k, t in enumerate(texts) for s in range(0, len(ids_of(t)) + 1, 64)]
+    images = tokenbin.feistel(np.arange(len(every)), tokenbin.PARTS * tokenbin.PLACES, "k")
+    want = [every[k] for k in np.argsort(images)]
+    got = tokenbin.written_records(spark, f"{tmp_path}/order").orderBy("slot").collect()
+    assert [(r["doc_id"], r["start"]) for r in got] == want != every
+
+
 def test_order_edges(spark, no_docs, tmp_path):
     assert tokenbin.write_order(no_docs, f"{tmp_path}/none")["sequences"] == 0 and tokenbin.written_records(spark, f"{tmp_path}/none").count() == 0
     odd = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string")
@@ -183,7 +198,7 @@ def test_the_query_writes_its_shards(spark):
     before = set(place.glob("token-order-*"))
     rows = tokenbin.op3_token_order(spark, "/root/testdata/sf0.01").collect()
     (out,) = set(place.glob("token-order-*")) - before
-    assert len(list(out.glob("shard-*.bin"))) == -(-len(rows) // 4096) and not list(place.glob("sequences-*"))
+    assert {f.stem for f in out.glob("shard-*.bin")} == {r["shard"] for r in rows} and sum(tokenbin.read_about(f"file:{out}")["ranges"]) == len(rows)
     crc = {r["slot"]: r["record_crc32"] for r in rows}
     slot = len(rows) - 100
     for batch in tokenbin.read_order(f"file:{out}", slot=slot):
