@@ -155,14 +155,14 @@ BOTH = "SELECT src, dst, rel_type, 0 AS direction FROM edges UNION ALL SELECT ds
     SELECT id, CAST(depth AS INTEGER) AS depth, CASE WHEN direction = 1 THEN '(in) ' || rel_type ELSE rel_type END AS relation, parent FROM ins WHERE k = 1 AND depth > 0""")
 def impact_bfs(spark, sf_dir):
     start = spark.createDataFrame([("order:0",)], "id string")
-    return traverse.impact(tables.edges(spark, sf_dir), start, 3)
+    return traverse.impact(None, start, 3, tables.lead(spark, sf_dir, both=True))
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, walk(id, depth) AS (SELECT 'order:0', 0 UNION SELECT e.dst, walk.depth + 1 FROM walk JOIN edges e ON e.src = walk.id WHERE walk.depth < 3)
     SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY id HAVING min(depth) > 0""")
 def reach_calls(spark, sf_dir):
     start = spark.createDataFrame([("order:0",)], "id string")
-    return traverse.reach(tables.edges(spark, sf_dir), start, 3).select("id", "depth")
+    return traverse.reach(None, start, 3, tables.lead(spark, sf_dir, both=False)).select("id", "depth")
 
 
 # diffs, intervals, carrying forward

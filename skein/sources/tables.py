@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.graph import Graph
+from skein.plans.lineage import BROADCAST_ROWS
 
 #: table: (label, key column, name column); fixed values.
 LABELS = {
@@ -58,5 +61,27 @@ def edges(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None)
     return found
 
 
+def lead(spark: SparkSession, sf_dir: str, both: bool) -> Callable[[DataFrame], DataFrame]:
+    """From a frontier (src) to the edges that leave it (src, dst, rel_type, direction), with ``both`` those that enter it, too.
+
+    Only relations of the labels in the frontier are read, two key columns of each, and joined by the keys themselves, the
+    frontier's side broadcast if it is small; names of nodes are made for what is left.
+    """
+
+    def of(ends: DataFrame) -> DataFrame:
+        ends = ends.select(F.substring_index("src", ":", 1).alias("label"), F.substring_index("src", ":", -1).cast("long").alias("key"))
+        sizes = {r["label"]: r["count"] for r in ends.groupBy("label").count().collect()}  # a row a label
+        found = spark.createDataFrame([], "src string, dst string, rel_type string, direction int")
+        for relation, table, a, b in RELATIONS:
+            for direction, (near, near_key), (far, far_key) in [(0, a, b), (1, b, a)][: 1 + both]:
+                if near in sizes:
+                    keys = ends.where(F.col("label") == near).select(F.col("key").alias(near_key))
+                    met = read(spark, sf_dir, table).select(near_key, far_key).join(F.broadcast(keys) if sizes[near] <= BROADCAST_ROWS else keys, near_key)
+                    found = found.unionByName(met.select(ident(near, near_key).alias("src"), ident(far, far_key).alias("dst"), F.lit(relation).alias("rel_type"), F.lit(direction).alias("direction")))
+        return found
+
+    return of
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
