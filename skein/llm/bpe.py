@@ -27,7 +27,7 @@ from skein.llm.common import released, slices, table
 from skein.llm.tokens import SPLIT, default_path, read_file
 
 NONE = 2**31 - 1  # no merge
-PLACE = 20  # bits for a place in a word
+PLACE = 31  # bits for a place in a word, as many as an array can have
 
 
 @functools.cache
@@ -264,17 +264,20 @@ def encode_digest(docs: DataFrame, path: str | None = None, pattern: str = SPLIT
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) with the fold in Spark's higher-order functions, within a row; null texts have no ids."""
+    """(doc_id, ids array<int>) with the fold in Spark's higher-order functions over the distinct words of a row; null texts have no ids."""
     path = path or default_path("byte_bpe_50k.tiktoken")
 
     def words(frames):
         find = regex.compile(SPLIT).findall
         for frame in frames:
-            frame["words"] = [[list(w.encode()) for w in find(t or "")] for t in frame.pop("text")]
+            found = [find(t or "") for t in frame.pop("text")]
+            known = [{w: k for k, w in enumerate(dict.fromkeys(words))} for words in found]
+            frame["words"] = [[list(w.encode()) for w in words] for words in known]
+            frame["places"] = [[of[w] for w in words] for words, of in zip(found, known)]
             yield frame
 
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(released(words), "doc_id string, words array<array<smallint>>")
-    return rows.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), F.flatten(fold_words(F.col("words"), path)).alias("ids"))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(released(words), "doc_id string, words array<array<smallint>>, places array<int>")
+    return rows.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), bound(fold_words(F.col("words"), path), lambda folded: F.flatten(F.transform("places", lambda k: F.get(folded, k)))).alias("ids"))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
