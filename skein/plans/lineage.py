@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that they share every folder."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where none is set (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+        if not named and not one_machine(spark):
             raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return sc.getCheckpointDir()

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import build, detectors
 from skein.operators import edges as E
+from skein.operators.graph import Graph
 from skein.operators.tools import Tools
-from skein.plans.lineage import cut
+from skein.plans.lineage import cut, shared_dir
 from skein.plans.plugins import built_in
 from skein.sources import files as S
 from skein.sources import made
-from skein.sources.config import with_plugin
+from skein.sources.config import load, with_plugin
 from skein.sources.facts import facts as fact_table
 from skein.sources.facts import of
 
@@ -264,6 +267,22 @@ def project_graph(spark, sf_dir):
     return edges.groupBy("src", "dst", "rel_type").agg(F.count("*").cast("int").alias("n"))
 
 
+#: The mixin's import goes through the alias of tsconfig.json in the written files.
+@query(f"""SELECT replace(src, '/app/', '') AS src, replace(dst, '/app/', '') AS dst, rel_type FROM ({BETWEEN}) UNION ALL SELECT DISTINCT replace(src, '/app/', ''), dst, 'USES_API' FROM ({APIS})
+    UNION ALL SELECT replace(src, '/app/', ''), replace(dst, '/app/', ''), 'uses_store_item' FROM ({USES}) UNION ALL SELECT 'package.json', 'made', 'package'""")
+def project_from_files(spark, sf_dir):
+    """The project written as files, read back with its YAML configuration, indexed, saved and loaded."""
+    place = f"{shared_dir(spark)}/project-{uuid4().hex}"
+    made.write(made.files(spark, sf_dir).withColumn("content", F.replace("content", F.lit("'@/mixins/"), F.lit("'#mixins/"))), place)
+    folder = re.sub("^file:/*", "/", place)
+    build.build(spark, load(f"{folder}/skein.yaml"), built_in()).save(f"{place}/graph")
+    graph = Graph.load(spark, f"{place}/graph")
+    short = lambda c: F.replace(c, F.lit(f"{folder}/"), F.lit("")).alias(c)
+    edges = graph.edges.where("rel_type not in ('has_item', 'defines', 'CALLS')").select(short("src"), short("dst"), "rel_type").distinct()
+    package = graph.nodes.where("entity_type = 'package'").select(short("id"), "name", "entity_type")
+    return edges.unionByName(package.toDF("src", "dst", "rel_type"))
+
+
 @query(f"""SELECT 'entities' AS part, entity_type AS label, count(*) AS n FROM ({NODES}) GROUP BY 2 UNION ALL SELECT 'relations', rel_type, count(*) FROM ({BETWEEN}) GROUP BY 2
     UNION ALL SELECT 'relations', 'uses_store_item', count(*) FROM ({USES}) UNION ALL SELECT 'relations', 'USES_API', 2 * count(*) FROM ({APIS}) UNION ALL SELECT 'relations', 'has_item', count(*) FROM ({ITEMS})
     UNION ALL SELECT 'relations', 'defines', count(*) FROM ({FUNCTIONS}) UNION ALL SELECT 'relations', 'CALLS', count(*) FROM ({CALLS})

@@ -6,8 +6,12 @@ router and a main-process file; one preload script bridges all nations.
 
 from __future__ import annotations
 
+import json
 import re
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +131,35 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(F.concat(F.lit(f"{ROOT}/"), "rel_path").alias("path"), "rel_path", "content", F.length("content").cast("long").alias("length"))
 
 
+def write(files: DataFrame, place: str) -> None:
+    """Write the files below ``place``, the address of a folder that all executors share, with what else a project has."""
+    folder = f"{place}/src"
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{path}") as f:
+                    f.write(content.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    files.select("rel_path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()
+    own, (fs, base) = config(), pafs.FileSystem.from_uri(place)
+    relations = {name: {"from": r.source, "to": r.target, "detect_by": [{"type": kind, "pattern": pattern} for kind, pattern in r.detect_by]} for name, r in own.relationships.items()}
+    about = {
+        "project": {"name": own.name, "source_root": "src"},
+        "entities": {name: {"patterns": patterns} for name, patterns in own.entities.items()},
+        "framework_apis": [{"name": name, "api_list": names} for name, names in own.apis.items()],
+        "relationships": relations,
+    }
+    package = {"name": "made", "version": "1.0.0", "dependencies": {"vue": "3", "pinia": "2"}}
+    tsconfig = {"compilerOptions": {"baseUrl": ".", "paths": {"#mixins/*": ["src/mixins/*"]}}}
+    for name, text in (("skein.yaml", yaml.safe_dump(about)), ("package.json", json.dumps(package)), ("tsconfig.json", json.dumps(tsconfig))):
+        with fs.open_output_stream(f"{base}/{name}") as f:
+            f.write(text.encode())
+
+
 def config() -> Config:
     """The project's own part of the configuration; the built-in plugin adds the rest."""
     relations = {
