@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import released, shared_dir, slices, table
 from skein.llm.tokens import default_path, tokens
+from skein.plans.lineage import one_machine
 
 END = 50256
 PARTS, PLACES = 1 << 24, 3 << 37  # input partitions, and sequences of one, that an index has room for
@@ -98,7 +99,7 @@ def write_order(docs: DataFrame, out: str, path: str | None = None, key: str = "
     path, spark = path or default_path(), docs.sparkSession
     width = 2 if tokens(path).size <= 1 << 16 else 4
     fs, base = _files(out)
-    if "://" not in out and not out.startswith("file:") and not spark.sparkContext.master.startswith("local["):
+    if "://" not in out and not out.startswith("file:") and not one_machine(spark):
         raise ValueError(f"{out} is a path on each executor's own disk; name a shared folder by its address")
     fs.create_dir(base, recursive=True)
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()
