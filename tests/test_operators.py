@@ -249,3 +249,19 @@ def test_schema(spark):
 def test_degrees(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a")], "src string, dst string")
     assert rows(graph.degrees(edges), "id", "degree") == [("a", 4), ("b", 2)]
+
+
+def test_scratch(spark):
+    """Checkpoints go with the innermost scope, but for those that are to outlive it."""
+    from pathlib import Path
+
+    from skein.plans.lineage import cut, scratch, shared_dir
+
+    place = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(place.glob("rdd-*"))
+    with scratch(spark):
+        with scratch(spark):
+            cut(spark.range(3))
+            kept = cut(spark.range(5), keep=True)
+        assert kept.count() == 5 and len(set(place.glob("rdd-*")) - before) == 1
+    assert not set(place.glob("rdd-*")) - before
