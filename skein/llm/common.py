@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.plans.lineage import cut, shared_dir
+from skein.plans.lineage import cut, scratch, shared_dir
 
-__all__ = ["connected_components", "cut", "released", "remove", "shared_dir", "slices", "spanning_links", "table", "unused", "without_ids"]
+__all__ = ["connected_components", "cut", "released", "remove", "scratch", "shared_dir", "slices", "spanning_links", "table", "unused", "without_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     factor a round whatever the graph looks like (chains included), and hubs only meet partial aggregates.
     Null ends and self links are ignored; no links give no rows.
     """
+    with scratch(edges.sparkSession):
+        return _contracted(edges)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
@@ -108,12 +113,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = left.join(step, left["dst"] == step["node"]).select("a", F.col("to").alias("b")).where("a <> b")
         edges = cut(edges.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     if not steps:
-        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+        return cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("component")), keep=True)
     found = steps[0]
     for step in steps[1:]:
         found = found.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     least = found.groupBy("to").agg(F.min("node").alias("component"))
-    return cut(found.join(least, "to").select("node", "component"))
+    return cut(found.join(least, "to").select("node", "component"), keep=True)
 
 
 #: So many ids (16 MB as a hash table) may be broadcast; beyond, the join shuffles.
