@@ -40,7 +40,7 @@ MIXINS = f"SELECT path AS src, {MIXIN.format('CASE WHEN n >= 10 THEN n // 10 ELS
 ITEMS = " UNION ALL ".join(f"SELECT path || '#{kind}:{name}' || {key} AS id, '{name}' || {key} AS name, '{kind}' AS item_type, path AS store_path FROM shop_file" for kind, name, key in (("state", "stock", "s"), ("state", "total", "''"), ("getter", "sum", "s"), ("action", "add", "s")))
 USES = f"SELECT path AS src, {SHOP.format('s')} || '#action:add' || s AS dst, 14 AS line FROM part_file UNION ALL SELECT path, {SHOP.format('s')} || '#state:stock' || s, 15 FROM part_file"
 FUNCTIONS = "SELECT path || '#load' || p || ':12' AS id, 'load' || p AS name, path AS file_path, 'method' AS kind, 12 AS start_line, 16 AS end_line, 19 AS file_start_line FROM part_file UNION ALL SELECT path || '#step' || p || ':17', 'step' || p, path, 'method', 17, 20, 24 FROM part_file UNION ALL SELECT path || '#fetch' || n || ':2', 'fetch' || n, path, 'function', 2, 4, 2 FROM api_file"
-CALLS = f"SELECT path || '#load' || p || ':12' AS src, path || '#step' || p || ':17' AS dst, 0.95 AS confidence, 'load' || p || '→step' || p AS call_site FROM part_file UNION ALL SELECT path || '#step' || p || ':17', {API.format('n')} || '#fetch' || n || ':2', 0.8, 'step' || p || '→fetch' || n FROM part_file"
+CALLS = f"SELECT path || '#load' || p || ':12' AS src, path || '#step' || p || ':17' AS dst, CAST(0.95 AS DOUBLE) AS confidence, 'load' || p || '→step' || p AS call_site FROM part_file UNION ALL SELECT path || '#step' || p || ':17', {API.format('n')} || '#fetch' || n || ':2', CAST(0.8 AS DOUBLE), 'step' || p || '→fetch' || n FROM part_file"
 IPC = f"SELECT path AS src, {MAIN.format('n.r')} AS dst, 'calls_ipc' AS rel_type FROM part_file JOIN n USING (n) UNION ALL SELECT DISTINCT '/app/src/preload/index.ts', path, 'exposes_ipc' FROM main_file"
 APIS = "SELECT path AS src, 'ref' AS dst, 4 AS line, 'vue' AS framework FROM card_file UNION ALL SELECT path, 'defineStore', 4, 'pinia' FROM shop_file UNION ALL SELECT path, 'fetch1', 19, 'shop' FROM part_file WHERE n = 1 UNION ALL SELECT path, 'fetch1', 9, 'shop' FROM shop_file WHERE n = 1"
 CONFIGURED = f"SELECT path AS src, {CARD.format('n')} AS dst, 'shows' AS rel_type FROM router_file UNION ALL SELECT f.path, a.path, 'asks' FROM shop_file f JOIN api_file a ON contains('fetch' || f.n, 'fetch' || a.n) OR contains('fetch' || a.n, 'fetch' || f.n)"
