@@ -36,11 +36,14 @@ def main(argv: list[str] | None = None) -> int:
     view.add_argument("out")
     init = commands.add_parser("init", help="write a configuration")
     init.add_argument("path")
+    init.add_argument("--interactive", action="store_true", help="ask which parts of the project to track")
     args = parser.parse_args(argv)
     if args.command == "init":
-        seen = C.probe(os.path.dirname(os.path.abspath(args.path)))
+        folder = os.path.dirname(os.path.abspath(args.path))
+        seen = C.probe(folder)
+        text = C.full(C.ask(seen)) if args.interactive else C.minimal(seen, os.path.isdir(os.path.join(folder, "src")))
         with open(args.path, "x", encoding="utf-8") as f:
-            f.write(C.template("legacy" if "vuex" in seen["frameworks"] else "modern"))
+            f.write(text)
         return 0
     spark = SparkSession.builder.appName("skein").getOrCreate()
     if args.command == "index":

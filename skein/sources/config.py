@@ -125,25 +125,111 @@ def with_plugin(config: Config, compat: bool = True) -> Config:
     return Config(config.name, config.source_root, entities, apis, relations, markers, config.descriptions)
 
 
-def template(kind: str = "modern", name: str = "project", root: str = "src") -> str:
-    """A configuration to begin with."""
-    entities = {"component": {"patterns": ["**/*.vue"]}, "store": {"patterns": ["store/**/*.ts", "store/**/*.js"]}, "route": {"patterns": ["router/**/*.ts"]}}
-    detect = [{"type": "call_expression", "pattern": p} for p in (("use*Store",) if kind == "modern" else ("mapState", "mapActions", "mapGetters", "mapMutations"))]
-    body = {"project": {"name": name, "source_root": root}, "entities": entities, "framework_apis": [], "relationships": {"uses_store": {"from": "component", "to": "store", "detect_by": detect}}, "custom_entities": {}}
-    return yaml.safe_dump(body, sort_keys=False)
+#: Folders and packages that tell of a part of a project (fixed values).
+FOLDERS = {
+    "composable": ["composables"],
+    "layout": ["layouts"],
+    "mixin": ["mixins"],
+    "page": ["pages", "views"],
+    "plugin": ["plugins"],
+    "route": ["router"],
+    "store": ["store", "stores"],
+    "electron-main": ["electron"],
+}
+PACKAGES = {"route": ["vue-router"], "store": ["pinia", "vuex"], "electron-main": ["electron", "electron-builder", "electron-vite"]}
+#: Questions of an interactive start by the entity type they are about.
+QUESTIONS = {
+    "route": "Track routes and the components they lead to",
+    "composable": "Track composables",
+    "page": "Track pages and views",
+    "layout": "Track layouts",
+    "plugin": "Track application plugins",
+    "mixin": "Track mixins",
+    "electron-main": "Track main process, preload scripts and channels",
+}
 
 
-def probe(folder: str, depth: int = 4) -> dict:
-    """What a project uses: its commonest script language, its frameworks, whether it has single-file components."""
-    votes, components = {"ts": 0, "js": 0}, 0
-    top = Path(folder)
-    for path in top.rglob("*"):
-        parts = path.relative_to(top).parts
-        if len(parts) <= depth and "node_modules" not in parts and path.is_file():
-            votes["ts"] += path.suffix in (".ts", ".tsx")
-            votes["js"] += path.suffix in (".js", ".jsx")
-            components += path.suffix == ".vue"
+@dataclass
+class Probe:
+    """What a folder looks like, and the answers of an interactive start."""
+
+    name: str
+    source_root: str
+    language: str
+    stores: str  # pinia, vuex, both or none
+    parts: set[str]
+    store_folder: str = "store"
+
+
+def probe(folder: str, depth: int = 4) -> Probe:
+    """A project's name, source root, commonest script language, kinds of stores and parts, by its folders and packages."""
+    top = Path(folder).resolve()
     package = top / "package.json"
-    read = json.loads(package.read_text()) if package.exists() else {}
-    needs = {**read.get("dependencies", {}), **read.get("devDependencies", {})}
-    return {"language": "ts" if votes["ts"] >= votes["js"] else "js", "components": components, "frameworks": sorted(n for n in ("vue", "pinia", "vuex", "vue-router") if n in needs)}
+    try:
+        read = json.loads(package.read_text(encoding="utf-8")) if package.exists() else {}
+    except ValueError:
+        read = {}
+    needs = {**(read.get("dependencies") or {}), **(read.get("devDependencies") or {})}
+    root = "src" if (top / "src").is_dir() and not (top / "electron").is_dir() else "."
+    votes = {"ts": 0, "js": 0}
+    for path in (top / root).rglob("*"):
+        parts = path.relative_to(top / root).parts
+        if len(parts) <= depth and "node_modules" not in parts and path.is_file():
+            votes["ts"] += path.suffix in (".ts", ".vue")
+            votes["js"] += path.suffix == ".js"
+    places = [top / root, top / "src", top]
+    there = lambda name: any((p / name).is_dir() for p in places[: 3 if name == "electron" else 2])
+    found = {kind for kind, names in FOLDERS.items() if any(map(there, names)) or any(n in needs for n in PACKAGES.get(kind, []))}
+    known = [n for n in ("pinia", "vuex") if n in needs]
+    stores = "both" if len(known) == 2 else known[0] if known else "pinia" if "store" in found else "none"
+    return Probe(read.get("name") or top.name or "my-project", root, "js" if votes["js"] > votes["ts"] else "ts", stores, found - {"store"}, "stores" if there("stores") else "store")
+
+
+def ask(seen: Probe, answer=input) -> Probe:
+    """``seen`` with a user's answers; an empty one accepts what is suggested."""
+
+    def text(question: str, suggested: str) -> str:
+        return answer(f"{question} [{suggested}] ").strip() or suggested
+
+    def choice(question: str, values: list[str], suggested: str) -> str:
+        while (got := text(f"{question} ({'/'.join(values)})", suggested)) not in values:
+            pass
+        return got
+
+    name, root = text("Project name", seen.name), text("Source root", seen.source_root)
+    language, stores = choice("Script language", ["ts", "js"], seen.language), choice("Stores", ["pinia", "vuex", "both", "none"], seen.stores)
+    parts = {kind for kind, question in QUESTIONS.items() if choice(question, ["y", "n"], "y" if kind in seen.parts else "n") == "y"}
+    return Probe(name, root, language, stores, parts, seen.store_folder)
+
+
+def minimal(seen: Probe, has_src: bool = False) -> str:
+    """A configuration to begin with: components, stores and routes."""
+    below = "src/" if seen.source_root == "." and has_src else ""
+    entities = {"component": ["**/*.vue"], "store": [f"{below}{seen.store_folder}/**/*.{{js,ts}}"], "route": [f"{below}router/**/*.{{js,ts}}"]}
+    return yaml.safe_dump({"project": {"name": seen.name, "source_root": seen.source_root}, "entities": {n: {"patterns": p} for n, p in entities.items()}}, sort_keys=False)
+
+
+def full(said: Probe) -> str:
+    """The parts of the built-in plugin that the answers name, as a configuration of their own."""
+    kinds = {"component", *said.parts} | ({"store"} if said.stores != "none" else set()) | ({"preload"} if "electron-main" in said.parts else set())
+    below = ["", "src/"] if said.source_root == "." else [""]
+    entities = {}
+    for kind, patterns in PLUGIN_ENTITIES.items():
+        if kind in kinds:
+            own = [p for p in patterns if said.language == "ts" or not p.endswith(".ts")]
+            entities[kind] = {"patterns": list(dict.fromkeys(b + p if not p.startswith(("**", "src/")) else p for b in below for p in own))}
+    used = {"vue": True, "vue-router": "route" in kinds, "pinia": said.stores in ("pinia", "both")}
+    relations = {}
+    for name, (source, target, _, meant) in PLUGIN_RELATIONS.items():
+        if {source, target} <= kinds:
+            if name == "uses_store" and said.stores in ("vuex", "both"):
+                meant = [*meant, *(("call_expression", helper) for helper in ("mapState", "mapGetters", "mapActions", "mapMutations"))]
+            relations[name] = {"from": source, "to": target, "detect_by": [{"type": kind, "pattern": pattern} for kind, pattern in meant]}
+    body = {
+        "project": {"name": said.name, "source_root": said.source_root},
+        "entities": entities,
+        "framework_apis": [{"name": name, "api_list": names} for name, names in PLUGIN_APIS.items() if used.get(name)],
+        "relationships": relations,
+        "custom_entities": {},
+    }
+    return yaml.safe_dump(body, sort_keys=False)

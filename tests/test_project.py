@@ -5,6 +5,7 @@ import shutil
 from pathlib import Path
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from skein.cli import main
@@ -159,7 +160,7 @@ def test_config(tmp_path):
     assert C.with_plugin(parsed).relationships["uses_store"].source == "component"
     assert C.with_plugin(parsed, compat=False).relationships["uses_store"].source == "a"
     path = tmp_path / "skein.yaml"
-    assert main(["init", str(path)]) == 0 and C.load(str(path)).name == "project"
+    assert main(["init", str(path)]) == 0 and C.load(str(path)).name == tmp_path.name
 
 
 def test_package_and_aliases(spark, tmp_path):
@@ -238,3 +239,25 @@ def test_stream(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch = stream.windowed_counts(events)
     assert got.count() > 0 and got.join(batch, ["start", "event_type", "n"], "left_anti").isEmpty()
+
+
+def test_probe_and_templates(tmp_path):
+    top = tmp_path / "shop"
+    for name in ("src/stores/a.ts", "src/views/V.vue", "src/composables/useA.ts", "src/x.js"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("")
+    (top / "package.json").write_text('{"name": "shop", "dependencies": {"pinia": "2", "vue-router": "4"}, "devDependencies": {"vuex": "4"}}')
+    seen = C.probe(str(top))
+    assert (seen.name, seen.source_root, seen.language, seen.stores, seen.store_folder) == ("shop", "src", "ts", "both", "stores") and seen.parts == {"composable", "page", "route"}
+    first = C.parse(yaml.safe_load(C.minimal(seen, True)), str(top))
+    assert first.entities == {"component": ["**/*.vue"], "store": ["stores/**/*.{js,ts}"], "route": ["router/**/*.{js,ts}"]}
+    answers = iter(["", ".", "perl", "js", "vuex", "", "n", "y", "", "", "", "y"])
+    said = C.ask(seen, lambda question: next(answers))
+    assert (said.name, said.source_root, said.language, said.stores, said.parts) == ("shop", ".", "js", "vuex", {"route", "page", "electron-main"})
+    parsed = C.parse(yaml.safe_load(C.full(said)), str(top))
+    assert list(parsed.entities) == ["component", "store", "route", "page", "electron-main", "preload"] and "src/router/**/*.js" in parsed.entities["route"]
+    assert not any(p.endswith(".ts") for patterns in parsed.entities.values() for p in patterns) and set(parsed.apis) == {"vue", "vue-router"}
+    assert ("call_expression", "mapState") in parsed.relationships["uses_store"].detect_by and "uses_mixin" not in parsed.relationships
+    (top / "electron").mkdir()
+    assert C.probe(str(top)).source_root == "." and "electron-main" in C.probe(str(top)).parts
+    assert main(["init", str(top / "skein.yaml")]) == 0 and C.load(str(top / "skein.yaml")).entities["store"] == ["src/stores/**/*.{js,ts}"]
