@@ -128,6 +128,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = made[0]
     for more in made[1:]:
         every = every.unionByName(more)
+    every = every.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # small tables come in few partitions, files don't
     return every.select(F.concat(F.lit(f"{ROOT}/"), "rel_path").alias("path"), "rel_path", "content", F.length("content").cast("long").alias("length"))
 
 
