@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from skein.llm import queries
@@ -65,6 +66,25 @@ def test_near_dedup_stage(stages):
     assert ids(stages["near_dedup"]) == sorted({order[k] for k in own}) and len(set(own)) < len(own)
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, docs, empty, tmp_path):
+    """Nulls in any column, repeated rows, empty and very long texts, columns named as the stages name their own, no rows."""
+    none = docs.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields]).limit(1)
+    no_id, no_text = none.withColumn("text", F.lit("words without an id " * 30)), none.withColumn("doc_id", F.lit(900).cast("long"))
+    rows = docs.unionByName(docs.limit(20)).unionByName(none).unionByName(no_id).unionByName(no_text).unionByName(docs.limit(3).withColumn("lang", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 1000))
+    rows = rows.limit(0) if empty else rows
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    for name, stage in P.STAGES:
+        stage(spark, rows, SF).write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert after.columns == rows.columns, name
+            assert after.count() <= rows.count() and (empty or after.where("doc_id is null").count() == 2), name
+        rows = after
+    assert (rows.count() == 0) == empty
+
+
 def test_packing_stage(stages):
     rows = stages["packing"].toPandas()
     assert set(rows["doc_id"]) == set(ids(stages["near_dedup"])) and (rows.groupby("doc_id")["length"].sum() == rows.groupby("doc_id")["doc_tokens"].first()).all()
