@@ -30,9 +30,9 @@ def postings(docs: DataFrame, text: Column | str = "text", key: str = "doc_id",
 
 def frequencies(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     """(token, df, tf) over a corpus of one row a document: counted inside the rows' tasks, so only sums by token are shuffled."""
-    tokens = code_tokens(F.col(text) if isinstance(text, str) else text)
-    once = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(1).alias("df"), F.lit(0).alias("tf")))
-    each = F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(0).alias("df"), F.lit(1).alias("tf")))
+    docs = docs.select(code_tokens(F.col(text) if isinstance(text, str) else text).alias("tokens"))  # made once, read twice
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(1).alias("df"), F.lit(0).alias("tf")))
+    each = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(0).alias("df"), F.lit(1).alias("tf")))
     rows = docs.select(F.explode(F.concat(once, each)).alias("r"))
     return rows.groupBy("r.token").agg(F.sum("r.df").alias("df"), F.sum("r.tf").alias("tf"))
 
