@@ -155,6 +155,8 @@ class Shard:
     def finish(self) -> None:
         for stream, (own, name) in zip(self.streams, self.names):
             stream.close()
+            if self.fs.get_file_info(name).type != pafs.FileType.NotFound:  # of a task that was lost later; some stores don't replace
+                self.fs.delete_file(name)
             self.fs.move(own, name)
 
 

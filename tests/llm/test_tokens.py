@@ -190,6 +190,17 @@ def test_order_edges(spark, no_docs, tmp_path):
     assert [(r["slot"], r["length"]) for r in got] == [(0, 1), (1, 1), (2, 1)] and Counter(r["doc_id"] for r in got) == {None: 1, 1: 2}
 
 
+def test_writing_again_replaces_the_shards(spark, docs, tmp_path):
+    """What a lost task left under a final name doesn't stay."""
+    out = tmp_path / "order"
+    tokenbin.write_order(docs, str(out), length=64, per_shard=10)
+    want = {f.name: f.read_bytes() for f in out.iterdir()}
+    for name in list(want)[::3]:
+        (out / name).write_bytes(b"torn")
+    tokenbin.write_order(docs, str(out), length=64, per_shard=10)
+    assert {f.name: f.read_bytes() for f in out.iterdir()} == want
+
+
 def test_the_query_writes_its_shards(spark):
     """What it returns lies in the shared folder, and reading can begin within a shard."""
     from skein.llm.common import shared_dir
