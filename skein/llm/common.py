@@ -87,30 +87,47 @@ def spanning_links(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return moved, label[moved]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: So many links (16 bytes each) are joined by one task.
+LAST_LINKS = 50_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (src, dst), few and all of them, (node, to): the smallest node that each can reach."""
+    sides = [np.zeros((0, 2), np.int64), *(np.stack([b.column(k).to_numpy() for k in (0, 1)], axis=1) for b in batches)]
+    nodes, of = np.unique(np.concatenate(sides), return_inverse=True)
+    of, label = of.reshape(-1, 2), np.arange(len(nodes))
+    moved, to = spanning_links(len(nodes), of[:, 0], of[:, 1])
+    label[moved] = to
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "to"])
+
+
+def connected_components(edges: DataFrame, last: int = LAST_LINKS) -> DataFrame:
     """(node, component): the smallest id that each node of ``edges`` (src, dst: long) can reach.
 
     Randomised contraction: in each round every node joins the neighbour (or itself) of the lowest random rank,
     groups become the next round's nodes, and links inside a group vanish. The number of links falls by a constant
-    factor a round whatever the graph looks like (chains included), and hubs only meet partial aggregates.
-    Null ends and self links are ignored; no links give no rows.
+    factor a round whatever the graph looks like (chains included), and hubs only meet partial aggregates. When at most
+    ``last`` links are left, one task joins them. Null ends and self links are ignored; no links give no rows.
     """
     with scratch(edges.sparkSession):
-        return _contracted(edges)
+        return _contracted(edges, last)
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame, last: int) -> DataFrame:
     edges = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
     steps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while left := edges.limit(last + 1).count():
+        if left <= last:
+            steps.append(cut(edges.coalesce(1).mapInArrow(_joined, "node long, to long")))
+            break
         seed = F.lit(len(steps))
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         near = both.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst", seed).alias("rank"), F.col("dst").alias("id"))).alias("low"))
         own = F.struct(F.xxhash64("src", seed).alias("rank"), F.col("src").alias("id"))
         step = cut(near.select(F.col("src").alias("node"), F.least("low", own)["id"].alias("to")))
         steps.append(step)
-        left = edges.join(step, edges["src"] == step["node"]).select(F.col("to").alias("a"), "dst")
-        edges = left.join(step, left["dst"] == step["node"]).select("a", F.col("to").alias("b")).where("a <> b")
+        half = edges.join(step, edges["src"] == step["node"]).select(F.col("to").alias("a"), "dst")
+        edges = half.join(step, half["dst"] == step["node"]).select("a", F.col("to").alias("b")).where("a <> b")
         edges = cut(edges.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     if not steps:
         return cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("component")), keep=True)

@@ -20,8 +20,10 @@ def groups(pairs):
     return {x: find(x) for x in label}
 
 
+@pytest.mark.parametrize("last", [0, 40, 50_000])
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "clique"])
-def test_components(spark, kind):
+def test_components(spark, kind, last):
+    """By rounds alone, by rounds and one task, by one task."""
     draw = random.Random(kind)
     pairs = {
         "chain": [(k, k + 1) for k in range(200)],
@@ -30,7 +32,7 @@ def test_components(spark, kind):
         "clique": [(a, b) for a in range(25) for b in range(25)],
     }[kind]
     df = spark.createDataFrame([*pairs, *pairs[:5]], "src long, dst long")
-    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(df, last).collect()}
     assert got == groups([p for p in pairs if p[0] != p[1]])
 
 
