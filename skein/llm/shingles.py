@@ -11,6 +11,7 @@ other, in tiles of bounded size.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,14 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes, unsigned: the bits that more than half of them have; 0 of none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX2
     return (x ^ (x >> np.uint64(27))) * MIX
@@ -131,13 +140,14 @@ def _named(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _read(words: int):
-    """(doc_id, text) to (doc_id, node, size, sketch)."""
+    """(doc_id, text) to (doc_id, node, size, sketch, fp); ``fp`` is the SimHash of the set."""
 
     def run(batches):
         for batch in slices(batches, text=1):
             sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
             sketches = pa.array([sketch(x).tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_named(sets)), pa.array([len(x) for x in sets], pa.int64()), sketches], ["doc_id", "node", "size", "sketch"])
+            fps = pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_named(sets)), pa.array([len(x) for x in sets], pa.int64()), sketches, fps], ["doc_id", "node", "size", "sketch", "fp"])
 
     return run
 
@@ -326,17 +336,18 @@ def _common_keys(source: DataFrame, words: int, similarity: float, n: int):
     return source.sparkSession.sparkContext.broadcast((found["key"].to_numpy(np.int64), found["leader"].to_numpy(np.int64))) if len(found) else None
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = 1024, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, component_id): groups of texts that are linked by pairs of Jaccard similarity ``similarity`` or more.
 
     The sets are those of the shingles of ``words`` words, whole texts, A-Z lower-cased. No pair is missed, up to
     collisions of 64-bit hashes. Equal sets are one node, whatever the number of copies, and so are all texts without
-    words, nulls included. Rows of null id belong to no group. Repeated rows come back repeated; an empty table gives no
+    words, nulls included. ``near`` gives further pairs (leader, node) of sets (node, fp) to be verified, those whose
+    fingerprints are near; the blocks of the whole sets find those pairs that it doesn't. Rows of null id belong to no group. Repeated rows come back repeated; an empty table gives no
     rows; columns other than the two named are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = cut(source.mapInArrow(released(_read(words)), "doc_id long, node long, size long, sketch binary"))
-    nodes = cut(found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    found = cut(source.mapInArrow(released(_read(words)), "doc_id long, node long, size long, sketch binary, fp long"))
+    nodes = cut(found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "fp")]))
     known = source.where("doc_id is not null")
     hot = _common_keys(known, words, similarity, found.count())
     keys = known.select("text").mapInArrow(released(_keys(words, similarity, hot)), "key long, node long, salt int")
@@ -351,7 +362,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # every member with the leader of its key
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("sketch").alias(f"{side}_sketch"))
-    pairs = members.where("node <> leader").select("leader", "node").distinct().join(at("node"), "node").join(at("leader"), "leader")
+    pairs = members.where("node <> leader").select("leader", "node")
+    if near:
+        pairs = pairs.unionByName(near(nodes.select("node", "fp")))
+    pairs = pairs.distinct().join(at("node"), "node").join(at("leader"), "leader")
     pairs = pairs.select("leader", "node", "leader_size", "leader_sketch", "node_size", "node_sketch")
     pairs = cut(pairs.mapInArrow(released(_maybe(similarity)), "leader long, node long"))
     sets = cut(sets_of(pairs.select("node").union(pairs.select("leader")).distinct()))

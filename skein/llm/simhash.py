@@ -4,8 +4,9 @@ A fingerprint is cut into ``blocks`` parts. Two fingerprints that differ in at m
 least ``blocks - distance`` parts, so they share one of the keys made of so many parts. Fingerprints that share a key
 are compared in tiles of bounded size; a tile returns links that span its groups, never all its pairs.
 
-64 bits tell texts of similarity 0.8 and 0.6 hardly apart, so for a bound on the similarity ``similar_groups`` does the
-same with the whole sets of shingles.
+64 bits tell texts of similarity 0.8 and 0.6 hardly apart, so for a bound on the similarity ``near_groups`` checks links of
+fingerprints by the sets of shingles themselves, and ``similar_groups`` finds the pairs that are farther apart by the same
+pigeonhole over the whole sets.
 """
 
 from __future__ import annotations
@@ -19,17 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import connected_components, cut, released, slices, spanning_links, without_ids
-from skein.llm.shingles import shingle_hashes, similar_groups
+from skein.llm.shingles import majority, shingle_hashes, similar_groups
 
-__all__ = ["fingerprint", "fingerprints", "hamming_links", "keep_one", "op5_simhash", "similar_groups", "simhash_groups"]
+__all__ = ["fingerprint", "fingerprints", "hamming_links", "keep_one", "near_groups", "op5_simhash", "similar_groups", "simhash_groups"]
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
     """The 64-bit SimHash of a text, unsigned; null and wordless texts have 0."""
-    hashes, counts = shingle_hashes(text, words), np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        counts += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -139,6 +137,28 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_pairs(sets: DataFrame, distance: int = 4) -> DataFrame:
+    """(leader, node): pairs of the sets (node, fp) that span every group of fingerprints at ``distance`` bits or fewer.
+
+    The least node of a fingerprint leads the others of it, and stands for it in the links between fingerprints.
+    """
+    lead = cut(sets.groupBy("fp").agg(F.min("node").alias("leader")))
+    alike = sets.join(lead, "fp").where("node <> leader").select("leader", "node")
+    links = hamming_links(lead.select("fp"), distance)
+    ends = links.join(lead.select(F.col("fp").alias("src"), "leader"), "src").join(lead.select(F.col("fp").alias("dst"), F.col("leader").alias("node")), "dst")
+    return alike.unionByName(ends.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
+    """(doc_id, component_id): groups of texts of similarity ``similarity`` or more by SimHash, then by their whole sets.
+
+    Sets of shingles whose fingerprints are linked at ``distance`` bits are compared by their exact similarity, and so are
+    those that share a block of the whole sets, which finds the pairs that 64 bits leave farther apart. Nulls, empty texts,
+    repeated rows, empty tables and further columns are as in ``similar_groups``.
+    """
+    return similar_groups(docs, id_col, text_col, words, similarity, near=lambda sets: near_pairs(sets, distance))
+
+
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose group (doc_id, component_id) has a smaller doc_id; rows of null doc_id stay.
 
