@@ -6,11 +6,15 @@ least one segment that the longer holds unchanged, within a window of places tha
 leave. Segments are index keys, the substrings of those windows probe keys; both are hashes of (length of the indexed line,
 number of the segment, characters). Lines that share a key are compared in tiles of bounded size by a banded bit-parallel
 edit distance. Of each group of linked lines the first occurrence by (document, line) stays.
+
+Keys and occurrences are many and most of them meet nothing, so they go through shuffles as blocks (``blocks``), and only
+what met another becomes rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from skein.llm import blocks
 from skein.llm.common import BROADCAST_IDS, connected_components, cut, released, slices, spanning_links, table, unused
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
-SIGNED = "key long, owner long, salt int"
 SAMPLE = 50_000  # documents in which very common keys are looked for
 HOT = 20_000  # keys of more rows are split over tasks
+HELD = 1_000_000  # values that a task holds to make blocks of
+WHOLE = 4_000_000  # rows of a bucket that are looked at together
 
 
 def node_of(line: str) -> tuple[int, int]:
@@ -36,6 +42,14 @@ def node_of(line: str) -> tuple[int, int]:
     return a & ~1, b
 
 
+def digests(lines: list[str]) -> np.ndarray:
+    """``node_of`` of each line as two columns."""
+    data = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
+    out = np.frombuffer(data, "<i8").reshape(-1, 2).copy()
+    out[:, 0] &= ~1
+    return out
+
+
 def windows(edits: int) -> list[tuple[int, int, int]]:
     """(length difference, segment, shift) of all probes but those that repeat the line's own index keys."""
     out = []
@@ -61,9 +75,8 @@ class Powers:
 
 def signatures(lines: list[str], nodes: np.ndarray, edits: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """(key, node with the lowest bit set on index keys) for all segments and probes of the lines."""
-    data = [x.encode("utf-32-le", "surrogatepass") for x in lines]
-    size = np.fromiter((len(x) // 4 for x in data), np.int64, len(data))
-    chars = np.frombuffer(b"".join(data), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     up, down = powers.of(len(chars) + 1)
     sums = np.zeros(len(chars) + 1, np.uint64)
     np.cumsum((chars + np.uint64(1)) * up[1:], out=sums[1:])
@@ -159,22 +172,34 @@ def _banded(rows: list[np.ndarray], columns: list[np.ndarray], edits: int) -> np
     return final
 
 
-def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, a, b) of every line of at least ``least`` characters without outer white space."""
+def occurrences(docs: DataFrame, buckets: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of (a, b, doc_id, line_no) in this order, by ``a``, of every line of at least ``least`` characters without outer white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in slices(batches, text=1):
-            docs, numbers, data = [], [], []
+            docs, numbers, lines = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, line in enumerate(text.split("\n") if text else ()):
                     if len(line := line.strip()) >= least:
                         docs.append(doc_id)
                         numbers.append(k)
-                        data.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
-            both = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(both[:, 0] & ~1), pa.array(both[:, 1].copy())], ["doc_id", "line_no", "a", "b"])
+                        lines.append(line)
+            held.append(np.stack([*digests(lines).T, np.array(docs, np.int64), np.array(numbers, np.int64)]))
+            n += 4 * len(lines)
+            if n >= HELD:
+                yield _in_order(held, buckets)
+                held, n = [], 0
+        if n:
+            yield _in_order(held, buckets)
+
+    return _texts(docs, id_col, text_col).mapInArrow(released(run), blocks.SCHEMA)
 
-    return _texts(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, line_no long, a long, b long")
+
+def _in_order(held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    rows = np.concatenate(held, axis=1)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return blocks.blocks(list(rows), blocks.bucket_of(rows[0], buckets), 1)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,30 +208,47 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _lines_of(batch: pa.RecordBatch, least: int) -> dict[int, str]:
     """The distinct lines of a batch (column 1) by node."""
-    return {node_of(x)[0]: x for x in {line.strip() for text in batch.column(1).to_pylist() if text for line in text.split("\n")} if len(x) >= least}
+    lines = [x for x in {line.strip() for text in batch.column(1).to_pylist() if text for line in text.split("\n")} if len(x) >= least]
+    return dict(zip(digests(lines)[:, 0].tolist(), lines))
+
 
+def _signed(batches: Iterator[pa.RecordBatch], edits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The signatures of all lines of (doc_id, text), some at a time."""
+    powers, seen = Powers(), set()
+    for batch in slices(batches, text=1):
+        lines = {a: x for a, x in _lines_of(batch, least).items() if a not in seen}
+        if lines:
+            if len(seen) < 200_000:
+                seen.update(lines)  # spares repeats of a common line, no more than that
+            yield signatures(list(lines.values()), np.array(list(lines), np.int64), edits, powers)
 
-def _sign(edits: int, least: int, common):
-    """(doc_id, text) to (key, owner, salt) of all lines; rows of the keys in ``common`` go to tasks by salt."""
+
+def _sign(edits: int, least: int, buckets: int, common):
+    """(doc_id, text) to blocks of (key, owner) of all lines, by key; rows of the keys in ``common`` go by owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen, known = Powers(), set(), common.value if common else None
-        for batch in slices(batches, text=1):
-            lines = {a: x for a, x in _lines_of(batch, least).items() if a not in seen}
-            if lines:
-                if len(seen) < 200_000:
-                    seen.update(lines)  # spares repeats of a common line, no more than that
-                keys, owners = signatures(list(lines.values()), np.array(list(lines), np.int64), edits, powers)
-                salt = np.zeros(len(keys), np.int32)
-                if known is not None:
-                    hot = _within(known, keys)
-                    salt[hot] = 1 + (owners[hot] >> 1) % 1_000_003
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners), pa.array(salt)], ["key", "owner", "salt"])
+        held, n = [], 0
+        for part in _signed(batches, edits, least):
+            held.append(part)
+            n += 2 * len(part[0])
+            if n >= HELD:
+                yield block(held)
+                held, n = [], 0
+        if held:
+            yield block(held)
+
+    def block(held: list) -> pa.RecordBatch:
+        keys, owners = (np.concatenate(x) for x in zip(*held))
+        by = keys if common is None else np.where(_within(common.value, keys), owners, keys)
+        return blocks.blocks([keys, owners], blocks.bucket_of(by & ~1, buckets))
 
     return run
 
 
 def _within(common: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are in ``common``, sorted."""
+    if not len(common):
+        return np.zeros(len(keys), bool)
     return common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
 
 
@@ -214,58 +256,59 @@ def common_keys(docs: DataFrame, edits: int, least: int):
     """The keys that very many lines have, from a sample by hash; they only tell how rows are dealt to tasks."""
     one_of = max(16, docs.count() // SAMPLE)
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(one_of)) == 0)
-    counted = drawn.mapInArrow(released(_sign(edits, least, None)), SIGNED).groupBy("key").agg(F.count("*").alias("n"))
-    found = counted.where(F.col("n") > max(8, HOT // one_of)).orderBy("key").toPandas()["key"].to_numpy(np.int64)
-    return docs.sparkSession.sparkContext.broadcast(found) if len(found) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _ in _signed(batches, edits, least):
+            yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+
+    counted = drawn.mapInArrow(released(run), "key long").groupBy("key").agg(F.count("*").alias("n"))
+    found = counted.where(F.col("n") > max(8, HOT // one_of)).toArrow()["key"].to_numpy()
+    return docs.sparkSession.sparkContext.broadcast(np.sort(found)) if len(found) else None
 
 
 def near_keys(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """(key, node) for the keys that several different lines share; ``docs``: (doc_id, text)."""
-    common = common_keys(docs, edits, least)
+    common, buckets = common_keys(docs, edits, least), blocks.bucket_count(docs.sparkSession)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows sorted by key, those whose key has more than one node or is common. A run that goes on is held until it has two."""
-        known = common.value if common else None
-        keys, owners, passed = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, owners = np.r_[keys, batch.column(0).to_numpy()], np.r_[owners, batch.column(1).to_numpy()]
-            end = len(keys) if passed == keys[-1] else int(np.searchsorted(keys, keys[-1]))
-            yield from _shared(keys[:end], owners[:end], passed, known)
-            keys, owners = keys[end:], owners[end:]
-            if len(keys):
-                passed = None
-                owners = np.unique(owners)
-                keys = np.full(len(owners), keys[0])
-                if len(np.unique(owners >> 1)) > 1:
-                    passed = keys[0]
-                    yield from _shared(keys, owners, passed, known)
-                    keys, owners = keys[:0], owners[:0]
-        yield from _shared(keys, owners, passed, known)
-
-    signed = docs.mapInArrow(released(_sign(edits, least, common)), SIGNED)
-    signed = signed.repartition("key", "salt").sortWithinPartitions("key").select("key", "owner")
-    rows = signed.mapInArrow(released(shared), "key long, owner long")
+        """The rows whose key has more than one node or is common. Of a very large bucket only keys of one node so far are held."""
+        known = common.value if common else np.zeros(0, np.int64)
+        of, held, n, most, passed = None, [], 0, WHOLE, known
+        for bucket, _, rows in blocks.read(batches, 2):
+            if bucket != of:
+                if held:
+                    yield _several(held, passed)[0]
+                of, held, n, most, passed = bucket, [], 0, WHOLE, known
+            held.append(rows)
+            n += rows.shape[1]
+            if n > most:
+                found, rest = _several(held, passed)
+                yield found
+                passed = np.union1d(passed, found.column(0).to_numpy())
+                held, n = [rest], rest.shape[1]
+                most = max(WHOLE, 2 * n)
+        if held:
+            yield _several(held, passed)[0]
+
+    signed = docs.mapInArrow(released(_sign(edits, least, buckets, common)), blocks.SCHEMA)
+    rows = blocks.deal(signed, buckets).mapInArrow(released(shared), "key long, owner long")
     rows = rows.groupBy("key", F.col("owner").bitwiseAND(-2).alias("node")).agg(F.max(F.col("owner").bitwiseAND(1)).alias("index"))
     rows = cut(rows)
     good = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("index").alias("any")).where("n > 1 and any = 1")
     return rows.join(good.select("key", "n"), "key").select("key", "node", "n")
 
 
-def _shared(keys: np.ndarray, owners: np.ndarray, passed, common: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    if len(keys):
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts, sizes = np.r_[0, cuts], np.diff(np.r_[0, cuts, len(keys)])
-        low, high = np.minimum.reduceat(owners >> 1, starts), np.maximum.reduceat(owners >> 1, starts)
-        several = low != high
-        if passed is not None:
-            several |= keys[starts] == passed
-        if common is not None:
-            several |= _within(common, keys[starts])
-        stay = np.repeat(several, sizes)
-        if stay.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[stay]), pa.array(owners[stay])], ["key", "owner"])
+def _several(held: list[np.ndarray], passed: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows whose key has more than one node or is in ``passed``, and one for each other key."""
+    keys, owners = np.concatenate(held, axis=1)
+    order = np.argsort(keys)
+    keys, owners = keys[order], owners[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    low, high = np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
+    several = (low >> 1 != high >> 1) | _within(passed, keys[starts])
+    stay = np.repeat(several, np.diff(np.r_[starts, len(keys)]))
+    found = pa.RecordBatch.from_arrays([pa.array(keys[stay]), pa.array(owners[stay])], ["key", "owner"])
+    return found, np.stack([keys[starts][~several], high[~several]])
 
 
 def near_lines(docs: DataFrame, edits: int = 2, least: int = 20, tile: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,14 +321,20 @@ def near_lines(docs: DataFrame, edits: int = 2, least: int = 20, tile: int = 512
     members = cut(near_keys(texts, edits, least))
     wanted = cut(members.select("node").distinct())
 
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["node"].to_numpy())) if few else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=1):
             lines = _lines_of(batch, least)
+            if known:
+                stay = _within(known.value, np.array(list(lines), np.int64))
+                lines = dict(compress(lines.items(), stay.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(list(lines.values()), pa.string())], ["a", "line"])
 
     lines = texts.mapInArrow(released(run), "a long, line string")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    lines = lines.join(F.broadcast(wanted) if few else wanted, F.col("a") == F.col("node"), "left_semi")
+    if not few:
+        lines = lines.join(wanted, F.col("a") == F.col("node"), "left_semi")
     lines = lines.groupBy("a").agg(F.min("line").alias("line"))
     rows = members.withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -338,16 +387,89 @@ def _verify(edits: int):
 
 def repeated_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, a): the lines to remove, all but the first of each group of equal and near lines; rows without an id take no part."""
-    docs = docs.where(F.col(id_col).isNotNull())
-    every = cut(occurrences(docs, least, id_col, text_col))
+    docs = docs.where(F.col(id_col).cast("long").isNotNull())
+    buckets = blocks.bucket_count(docs.sparkSession)
+    every = cut(occurrences(docs, buckets, least, id_col, text_col))
     groups = connected_components(near_lines(docs, edits, least, id_col=id_col, text_col=text_col))
-    lines = every.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    lines = lines.join(groups, lines["a"] == groups["node"], "left").where("n > 1 or component is not null")
-    linked = F.col("component").isNotNull()
-    lines = cut(lines.select("a", "b", "first", linked.alias("linked"), F.coalesce("component", "a").alias("c"), F.when(linked, 0).otherwise(F.col("b")).alias("d")))
-    first = lines.groupBy("linked", "c", "d").agg(F.min("first").alias("kept"))
-    known = lines.join(first, ["linked", "c", "d"]).select("a", "b", "kept")
-    return every.join(known, ["a", "b"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("kept"))).select("doc_id", "line_no", "a")
+    counted = every.mapInArrow(released(_counted), blocks.SCHEMA).unionByName(blocks.packed(groups.select("node", "component"), buckets))
+    lines = cut(blocks.deal(counted, buckets).mapInArrow(released(_repeated), "a long, b long, doc_id long, line_no long, linked boolean, c long, d long"))
+    first = lines.groupBy("linked", "c", "d").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"))
+    known = lines.drop("doc_id", "line_no").join(first, ["linked", "c", "d"]).select("a", "b", "kept.doc_id", "kept.line_no")
+    return blocks.deal(every.unionByName(blocks.packed(known, buckets)), buckets).mapInArrow(released(_but_first), "doc_id long, line_no long, a long")
+
+
+def _runs(rows: np.ndarray) -> np.ndarray:
+    """Where the pairs in the first two columns change."""
+    a, b = rows[:2]
+    return np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of occurrences to (a, b, first doc_id, its line_no, number), one for each line of a block."""
+    for batch in batches:
+        found, of = [np.zeros((5, 0), np.int64)], [np.zeros(0, np.int32)]
+        for bucket, _, rows in blocks.read([batch], 0, 4):
+            starts = _runs(rows)
+            found.append(np.concatenate([rows[:, starts], np.diff(np.r_[starts, rows.shape[1]])[None]]))
+            of.append(np.full(len(starts), bucket, np.int32))
+        yield blocks.blocks(list(np.concatenate(found, axis=1)), np.concatenate(of), 1)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the groups (kind 0) and counted lines (kind 1) of each bucket, the lines that occur again or are linked, with the name (linked, c, d) of their group."""
+    for _, (groups, rows) in _by_bucket(blocks.read(batches, 2, 5)):
+        if not rows:
+            continue
+        rows = np.concatenate(rows, axis=1)
+        rows = rows[:, np.lexsort(rows[3::-1])]
+        starts = _runs(rows)
+        a, b, doc, line = rows[:4, starts]
+        node, component = np.concatenate([*groups, np.zeros((2, 0), np.int64)], axis=1)
+        order = np.argsort(node)
+        linked = _within(node[order], a)
+        c, d = a.copy(), np.where(linked, 0, b)
+        c[linked] = component[order][np.searchsorted(node[order], a[linked])]
+        stay = linked | (np.add.reduceat(rows[4], starts) > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (a, b, doc, line, linked, c, d)], ["a", "b", "doc_id", "line_no", "linked", "c", "d"])
+
+
+def _by_bucket(found: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, tuple[list, list]]]:
+    """Each bucket with its blocks of kind 0 and 1."""
+    for bucket, part in groupby(found, key=lambda x: x[0]):
+        sides = [], []
+        for _, kind, rows in part:
+            sides[kind].append(rows)
+        yield bucket, sides
+
+
+def _but_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the known lines (kind 0: a, b, place that stays) of each bucket and its occurrences (kind 1), the occurrences of known lines elsewhere.
+
+    Occurrences pass some blocks at a time, so a line that is everywhere takes no more memory than others.
+    """
+    for _, part in groupby(blocks.read(batches, 4, 4), key=lambda x: x[0]):
+        known, held, n = [np.zeros((4, 0), np.int64)], [], 0
+        for _, kind, rows in part:
+            (held if kind else known).append(rows)
+            n += kind * rows.shape[1]
+            if n >= HELD // 4:
+                known = [np.concatenate(known, axis=1)]
+                yield _elsewhere(known[0], np.concatenate(held, axis=1))
+                held, n = [], 0
+        if held:
+            yield _elsewhere(np.concatenate(known, axis=1), np.concatenate(held, axis=1))
+
+
+def _elsewhere(known: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    known = known[:, np.argsort(known[0])]
+    rows = rows[:, _within(known[0], rows[0])]
+    at, end = (np.searchsorted(known[0], rows[0], side) for side in ("left", "right"))
+    gone = np.zeros(rows.shape[1], bool)
+    while (left := at < end).any():  # more than one round only where lines share ``a``
+        a, b, doc, line = known[:, np.minimum(at, known.shape[1] - 1)]
+        gone |= left & (b == rows[1]) & ((doc != rows[2]) | (line != rows[3]))
+        at = at + 1
+    return pa.RecordBatch.from_arrays([pa.array(rows[k][gone]) for k in (2, 3, 0)], ["doc_id", "line_no", "a"])
 
 
 def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -374,7 +496,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 20, id_col: str =
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    joined = rows.join(gone, rows[id_col].cast("long") == F.col(of), "left").drop(of)
+    joined = rows.join(gone.hint("shuffle_hash"), rows[id_col].cast("long") == F.col(of), "left").drop(of)
     out = joined.mapInArrow(released(run), schema)
     if count_col and count_col in docs.columns:
         out = out.withColumn(count_col, F.coalesce(F.length(text_col), F.col(count_col)).cast(docs.schema[count_col].dataType))
